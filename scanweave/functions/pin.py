@@ -24,37 +24,39 @@ def _lane_digits(separator_lane: Column, digit_lane: Column) -> Column:
 
 def _from_lanes(upper: Column) -> Column:
     def lanes(compact):
-        even = F.regexp_replace(compact, "(.).?", "$1")
-        odd = F.regexp_replace(compact, ".(.?)", "$1")
-        return F.when(
-            F.length(compact) >= 10, F.coalesce(_lane_digits(even, odd), _lane_digits(odd, even))
+        both = F.struct(
+            F.regexp_replace(compact, "(.).?", "$1").alias("even"),
+            F.regexp_replace(compact, ".(.?)", "$1").alias("odd"),
         )
+        return F.when(F.length(compact) >= 10, let(both, lambda b: F.coalesce(
+            _lane_digits(b["even"], b["odd"]), _lane_digits(b["odd"], b["even"]))))
 
-    return lanes(F.regexp_replace(upper, "[^A-Z0-9|!]", ""))
+    return let(F.regexp_replace(upper, "[^A-Z0-9|!]", ""), lanes)
 
 
 def _from_tokens(upper: Column) -> Column:
     def per_token(t):
-        strong, weak = token_digits(t), token_digits(t, weak=True)
-        return (
-            F.when(F.length(strong) == 6, strong)
-            .when((F.length(strong) > 6) & t.rlike("^[0-9]+$"), F.left(strong, F.lit(6)))
-            .when(F.length(weak) == 6, weak)
-        )
+        def choose(d):
+            return (
+                F.when(F.length(d["strong"]) == 6, d["strong"])
+                .when((F.length(d["strong"]) > 6) & t.rlike("^[0-9]+$"), F.left(d["strong"], F.lit(6)))
+                .when(F.length(d["weak"]) == 6, d["weak"])
+            )
+
+        return let(F.struct(token_digits(t).alias("strong"), token_digits(t, weak=True).alias("weak")), choose)
 
-    found = F.transform(F.regexp_extract_all(upper, F.lit("[A-Z0-9|!]+"), F.lit(0)), per_token)
+    # A token never has more digits than characters, so only runs of six and more count.
+    found = F.transform(F.regexp_extract_all(upper, F.lit("[A-Z0-9|!]{6,}"), F.lit(0)), per_token)
     return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
 
 
 def pin_digits(c: Column) -> Column:
-    upper = F.upper(F.coalesce(c, F.lit("")))
-    joined = F.regexp_replace(upper, "[^0-9]", "")
-    return F.coalesce(
-        _from_lanes(upper),
-        _from_tokens(upper),
-        F.when(F.length(joined) >= 6, F.left(joined, F.lit(6))),
-        F.lit(""),
-    )
+    def read(upper):
+        joined = let(F.regexp_replace(upper, "[^0-9]", ""),
+                     lambda j: F.when(F.length(j) >= 6, F.left(j, F.lit(6))))
+        return F.coalesce(_from_lanes(upper), _from_tokens(upper), joined, F.lit(""))
+
+    return let(F.upper(F.coalesce(c, F.lit(""))), read)
 
 
 def clean_pin(c: Column) -> Column:

@@ -226,7 +226,7 @@ def refinement_results(spark, d) -> DataFrame:
         F.when(first, base).otherwise(moved).alias("roi"), base.alias("base_roi"),
         F.concat("l_returnflag", F.lit(" "), "l_linestatus").alias("raw_text"),
         F.when(F.col("l_quantity") % 5 == 0, "").otherwise(F.repeat("l_returnflag", (F.col("l_quantity") / 2).cast("int"))).alias("clean_text"),
-        (F.col("l_quantity") / 64 + F.col("l_extendedprice") % 64 / 4096).alias("confidence"),
+        (F.col("l_quantity") / 64 + F.floor("l_extendedprice") % 4 / 256).alias("confidence"),
         (F.floor(F.col("l_discount") * 100) / 64.0).alias("leakage"),
     )
 
@@ -253,7 +253,8 @@ def checkbox_scores(spark, d) -> DataFrame:
         F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("label"), s.alias("score"))
         for i, (n, s) in enumerate([
             ("Male", F.col("l_tax") * 5), ("Female", F.col("l_discount") * 5), ("Transgender", F.col("l_quantity") / 64)])])
-    return table(spark, d, "lineitem").select(ordinal().alias("doc_id"), F.explode(rows).alias("r")).select("doc_id", "r.*")
+    doc = ordinal() * 128 + F.floor(F.col("l_extendedprice")) % 128
+    return table(spark, d, "lineitem").select(doc.alias("doc_id"), F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
 def gender_lines(spark, d) -> DataFrame:

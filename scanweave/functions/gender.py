@@ -35,11 +35,8 @@ def resolve_gender(scores: Column) -> Column:
             label.alias("gender"), F.least(F.lit(0.99), half + lead).alias("confidence")
         )
 
-    return let(entries_or_none(scores), resolve)
-
-
-def entries_or_none(scores: Column) -> Column:
-    return F.coalesce(scores, F.slice(scores, 1, 0))
+    none = F.array().cast("array<struct<label:string,score:double>>")
+    return let(F.coalesce(scores, none), resolve)
 
 
 def merge_confidence(read_confidence: Column, tick_confidence: Column) -> Column:

@@ -443,7 +443,7 @@ _windows = ", ".join(
 _label_map = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in K.GENDER_LABELS.items())
 ORACLES["gender_windows"] = f"""
 with names(t, label) as (values {_label_map}), template(i, label, a, b, c, d) as (values {_windows}),
-l as (select l_orderkey as doc_id, l_linenumber * 100000 + l_suppkey as line_no, trim(upper({pick(_labels, 'l_partkey % 7')})) as t,
+l as (select l_orderkey as doc_id, {ordinal()} as line_no, trim(upper({pick(_labels, 'l_partkey % 7')})) as t,
   l_partkey % 700 as x, l_suppkey % 40 as y, cast(12 + l_quantity as int) as h from lineitem),
 s as (select doc_id, label, y, x, line_no, greatest(0, x - floor(h * 1.45)) as x1, x - floor(h * 0.12) as right_edge,
   greatest(0, y - floor(h * 0.2)) as y1, least(88, y + h + floor(h * 0.12)) as y2 from l join names using (t)),
@@ -589,7 +589,8 @@ with r as (select l_orderkey as doc_id, case when l_linenumber = 1 then -1 else
 s as (select *, round(confidence + case when len(clean_text) > 0 then least(0.18, len(clean_text) * 0.008) else -0.10 end - leakage * 0.85
     - (abs(x1 - 100) + abs(y1 - 100) + abs(x2 - 400)) / 360.0::double * 0.15, 9) as score,
     confidence < 0.9 or leakage >= 0.18 or clean_text = '' as gate from r),
-best as (select *, row_number() over (partition by doc_id order by score desc, roi_ordinal) as k from s),
+best as (select *, row_number() over (partition by doc_id order by score desc, roi_ordinal,
+    x1 desc, y1 desc, x2 desc, raw_text desc, clean_text desc, confidence desc, leakage desc) as k from s),
 -- several first items of an order: the largest as a row counts as the base
 base as (select *, row_number() over (partition by doc_id order by x1 desc, y1 desc, x2 desc, raw_text desc, clean_text desc, confidence desc, leakage desc) as k
   from s where roi_ordinal = -1),

@@ -261,7 +261,7 @@ def gender_lines(spark, d) -> DataFrame:
     labels = ["MALE", "-Male", "FANALE", "FEMALE ", "TRANSGENDER", "OTHER", "TRONOGENIAR"]
     x1, y1 = F.col("l_partkey") % 700, F.col("l_suppkey") % 40
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("line_no"),
+        F.col("l_orderkey").alias("doc_id"), ordinal().alias("line_no"),
         pick(labels, F.col("l_partkey") % 7).alias("text"),
         corners(x1, y1, x1 + 90, y1 + 12 + F.col("l_quantity")).alias("box"),
         F.lit(880).alias("width"), F.lit(88).alias("height"))

@@ -27,11 +27,12 @@ def gestalt_ratio(a: str, b: str) -> float:
 
 
 def reaches(a: str, b: str, floor: float) -> bool:
-    """ratio(a, b) >= floor, trying the two cheap upper bounds first."""
-    total = len(a) + len(b)
-    if total and 2.0 * min(len(a), len(b)) / total < floor:
+    """ratio(a, b) >= floor.  Matching symbols are at most those of the shorter text and at
+    most those of either that the other has at all; both bounds come first."""
+    need = floor * (len(a) + len(b)) / 2.0
+    if min(len(a), len(b)) < need or sum(map(a.__contains__, b)) < need or sum(map(b.__contains__, a)) < need:
         return False
-    return gestalt_ratio(a, b) >= floor
+    return SequenceMatcher(None, a, b).ratio() >= floor
 
 
 def per_distinct(fn, *columns):
@@ -102,19 +103,20 @@ def fuzzy_choice(text: Column, choices=tuple(K.STATES), min_ratio=K.STATE_MIN_RA
 
 
 # --- label words inside a text -------------------------------------------------------
-def label_hits(labels, words) -> int:
-    words = set(words)
-    return sum(
-        any(w == label or reaches(label, w, K.LEAKAGE_TOKEN_RATIO) for w in words)
-        for label in labels
+@lru_cache(maxsize=MEMO)
+def labels_like(field: str, word: str) -> frozenset:
+    """The label words of a field that a word nearly is."""
+    return frozenset(
+        label for label in K.FIELD_LABELS[field]
+        if word == label or reaches(label, word, K.LEAKAGE_TOKEN_RATIO)
     )
 
 
 @F.pandas_udf(T.DoubleType())
 def _leakage(field: pd.Series, words: pd.Series) -> pd.Series:
     def share(f, text):
-        labels = K.FIELD_LABELS[f]
-        return label_hits(labels, text.split()) / len(labels)
+        found = frozenset().union(*(labels_like(f, w) for w in text.split()))
+        return len(found) / len(K.FIELD_LABELS[f])
 
     return per_distinct(share, field, words).astype("float64")
 
@@ -157,6 +159,8 @@ def similarity_votes(targets: pd.Series, texts: pd.Series, weights: pd.Series) -
     """For every target the sum over texts of ratio(target, text) * weight."""
 
     def votes(ts, others, ws):
+        if ts is None:
+            return None
         return [sum(gestalt_ratio(t, o) * w for o, w in zip(others, ws)) for t in ts]
 
     return pd.Series([votes(*row) for row in zip(targets, texts, weights)])

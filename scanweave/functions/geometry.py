@@ -91,51 +91,67 @@ def contains_center(region: Column, box: Column) -> Column:
 
 def clamp_roi(x1, y1, x2, y2, width: Column, height: Column) -> Column:
     """Region kept inside the page; NULL when less than 12 pixels remain on an axis."""
-    left = F.greatest(F.lit(0), F.least(width - 1, x1))
-    top = F.greatest(F.lit(0), F.least(height - 1, y1))
-    right = F.greatest(left + 1, F.least(width, x2))
-    low = F.greatest(top + 1, F.least(height, y2))
-    return F.when((right - left >= 12) & (low - top >= 12), roi(left, top, right, low))
+    start = F.struct(
+        F.greatest(F.lit(0), F.least(width - 1, x1)).alias("x"),
+        F.greatest(F.lit(0), F.least(height - 1, y1)).alias("y"),
+    )
+
+    def end(a):
+        return let(roi(a["x"], a["y"], F.greatest(a["x"] + 1, F.least(width, x2)), F.greatest(a["y"] + 1, F.least(height, y2))),
+                   lambda r: F.when((r["x2"] - r["x1"] >= 12) & (r["y2"] - r["y1"] >= 12), r))
+
+    return let(start, end)
 
 
 def candidate_rois(field: Column, base: Column, width: Column, height: Column) -> Column:
-    """The base region and its grown and shrunk variants, distinct, first kept."""
-    pads = F.create_map(*[
-        v for f, p in K.FIELD_PADDING.items()
-        for v in (F.lit(f), F.array(*[F.lit(float(x)) for x in p]))
-    ])
+    """The base region and its grown and shrunk variants, distinct, first kept.  Variants
+    that get too small appear as one NULL, to be dropped after the array is exploded."""
+
+    def pad(i):
+        first, *rest = K.FIELD_PADDING.items()
+        chain = F.when(field == first[0], F.lit(first[1][i]))
+        for f, p in rest:
+            chain = chain.when(field == f, F.lit(p[i]))
+        return chain
+
     w = F.greatest(F.lit(1), base["x2"] - base["x1"])
     h = F.greatest(F.lit(1), base["y2"] - base["y1"])
+    steps = F.struct(
+        F.greatest(F.lit(4), (w * pad(0)).cast("int")).alias("grow_x"),
+        F.greatest(F.lit(4), (h * pad(1)).cast("int")).alias("grow_y"),
+        F.greatest(F.lit(3), (w * pad(2)).cast("int")).alias("cut_x"),
+        F.greatest(F.lit(3), (h * pad(3)).cast("int")).alias("cut_y"),
+    )
+    # left, top, right, bottom in (grow, cut) steps
+    moves = [
+        [(0, 0), (0, 0), (0, 0), (0, 0)],
+        [(-1, 0), (0, 0), (0, 0), (0, 0)],
+        [(0, 0), (0, 0), (1, 0), (0, 0)],
+        [(0, 0), (-1, 0), (0, 0), (0, 0)],
+        [(0, 0), (0, 0), (0, 0), (1, 0)],
+        [(-1, 0), (-1, 0), (1, 0), (1, 0)],
+        [(0, 1), (0, 0), (0, 0), (0, 0)],
+        [(0, 0), (0, 1), (0, 0), (0, 0)],
+        [(0, 1), (0, 1), (0, 0), (0, 0)],
+        [(0, 0), (0, 0), (0, -1), (0, 0)],
+        [(0, 0), (0, 0), (0, 0), (0, -1)],
+        [(0, 1), (0, 0), (1, 0), (0, 0)],
+        [(0, 0), (0, 1), (0, 0), (1, 0)],
+    ]
+    table = F.array(*[
+        F.struct(*[F.lit(v).alias(f"{edge}_{kind}") for edge, pair in zip(("x1", "y1", "x2", "y2"), m)
+                   for kind, v in zip(("grow", "cut"), pair)])
+        for m in moves
+    ])
+
+    def variant(s, m):
+        def edge(name):
+            axis = name[0]
+            return base[name] + m[f"{name}_grow"] * s[f"grow_{axis}"] + m[f"{name}_cut"] * s[f"cut_{axis}"]
+
+        return clamp_roi(edge("x1"), edge("y1"), edge("x2"), edge("y2"), width, height)
 
-    def deltas(p):
-        grow_x = F.greatest(F.lit(4), (w * p[0]).cast("int"))
-        grow_y = F.greatest(F.lit(4), (h * p[1]).cast("int"))
-        cut_x = F.greatest(F.lit(3), (w * p[2]).cast("int"))
-        cut_y = F.greatest(F.lit(3), (h * p[3]).cast("int"))
-        zero = F.lit(0)
-        # left, top, right, bottom
-        moves = [
-            (zero, zero, zero, zero),
-            (-grow_x, zero, zero, zero),
-            (zero, zero, grow_x, zero),
-            (zero, -grow_y, zero, zero),
-            (zero, zero, zero, grow_y),
-            (-grow_x, -grow_y, grow_x, grow_y),
-            (cut_x, zero, zero, zero),
-            (zero, cut_y, zero, zero),
-            (cut_x, cut_y, zero, zero),
-            (zero, zero, -cut_x, zero),
-            (zero, zero, zero, -cut_y),
-            (cut_x, zero, grow_x, zero),
-            (zero, cut_y, zero, grow_y),
-        ]
-        return F.array(*[
-            clamp_roi(base["x1"] + a, base["y1"] + b, base["x2"] + c, base["y2"] + d, width, height)
-            for a, b, c, d in moves
-        ])
-
-    rois = let(F.try_element_at(pads, field), deltas)
-    return F.array_distinct(F.filter(rois, lambda r: r.isNotNull()))
+    return let(steps, lambda s: F.array_distinct(F.transform(table, lambda m: variant(s, m))))
 
 
 def roi_distance(region: Column, base: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanweave import constants as K
 from scanweave.functions.fuzzy import seq_ratio
 from scanweave.functions.text import address_line, clean_generic, round4, tokens
-from scanweave.operators.consensus import text_buckets, vote_winner
+from scanweave.operators.consensus import chunk_rows, text_buckets, vote_winner
 
 PREPARED_BONUS = 0.03
 
@@ -14,9 +14,10 @@ PREPARED_BONUS = 0.03
 def line_candidates(reads: DataFrame) -> DataFrame:
     """Reads of the line windows, cleaned; blank lines vanish, prepared crops count more."""
     bonus = F.when(F.col("variant") == "prepared", F.lit(PREPARED_BONUS)).otherwise(F.lit(0.0))
+    # Exploding the text if there is one cleans once; a filter would clean again.
+    clean = F.explode(F.filter(F.array(address_line(F.col("raw_text"))), lambda t: t != ""))
     return (
-        reads.withColumn("clean_text", address_line(F.col("raw_text")))
-        .where("clean_text <> ''")
+        reads.withColumn("clean_text", clean)
         .withColumn("raw_text", F.trim("raw_text"))
         .withColumn("confidence", F.col("confidence") + bonus)
     )
@@ -25,25 +26,17 @@ def line_candidates(reads: DataFrame) -> DataFrame:
 def line_winners(reads: DataFrame, key="doc_id") -> DataFrame:
     """Best text per document and line window."""
     group = [key, "line_idx"]
-    buckets = text_buckets(line_candidates(reads), group)
-    sizes = buckets.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_texts"), F.max("best").alias("b"),
-        F.max_by("clean_text", "best").alias("clean_text"),
-    )
-    # Alone in its window a text wins without a vote.
-    alone = sizes.where("n_texts = 1").select(
-        *group, F.col("b.raw").alias("raw_text"), "clean_text", F.col("b.conf").alias("confidence")
-    )
-    short = F.size(F.filter(tokens(F.col("clean_text")), lambda w: F.length(w) <= 1))
-    voted = vote_winner(
-        buckets, sizes.where("n_texts > 1").select(*group, "n_texts"), group,
-        lambda vote: F.struct(
-            vote.alias("vote"), F.col("best.conf").alias("conf"), (-short).alias("short"),
-            F.length(F.replace("clean_text", F.lit(" "), F.lit(""))).alias("n"),
-            F.col("best.neg").alias("neg"),
-        ),
-    )
-    return alone.unionByName(voted)
+    chunked = chunk_rows(text_buckets(line_candidates(reads), group), reads, group)
+
+    def rank(vote, i):
+        short = F.size(F.filter(tokens(i["clean_text"]), lambda w: F.length(w) <= 1))
+        return F.struct(
+            vote.alias("vote"), i["best"]["conf"].alias("conf"), (-short).alias("short"),
+            F.length(F.replace(i["clean_text"], F.lit(" "), F.lit(""))).alias("n"),
+            i["best"]["neg"].alias("neg"),
+        )
+
+    return vote_winner(chunked.where("n_chunks = 1"), chunked.where("n_chunks > 1"), group, rank)
 
 
 def roll_up_lines(winners: DataFrame, key="doc_id") -> DataFrame:

@@ -36,83 +36,91 @@ def consensus(reads: DataFrame, keys=("doc_id",), field="field") -> DataFrame:
     cleans to anything, the most confident raw read stands, with no clean text.
     """
     group = [*keys, field]
-    buckets = text_buckets(reads, group)
+    is_name = F.col(field).isin(K.NAME_FIELDS)
+    others = text_buckets(reads.where(~is_name), group).groupBy(*group).agg(*_by_support())
+    return _settled(others, group).unionByName(_name_consensus(reads.where(is_name), group))
+
+
+def _by_support():
+    """Aggregates over buckets: the best supported text and the most confident read."""
     stated = F.col("clean_text") != ""
-    winner = F.max(F.when(stated, F.struct(
+    winner = F.struct(
         F.col("support"), F.col("conf_sum"), F.length("clean_text").alias("n"),
-        (-F.col("first_ordinal")).alias("neg"),
-        F.col("clean_text").alias("clean"),
-        F.col("last_raw").alias("raw"),
-    )))
-    by_support = buckets.groupBy(*group).agg(
-        winner.alias("w"), F.max("best").alias("b"), F.count_if(stated).alias("n_texts")
+        (-F.col("first_ordinal")).alias("neg"), F.col("clean_text").alias("clean"), F.col("last_raw").alias("raw"),
     )
-    by_similarity = (F.col(field).isin(K.NAME_FIELDS)) & (F.col("w.support") == 1)
-    # A group of one text needs no vote: it is its own best.
-    picked = by_support.select(
+    return F.max(F.when(stated, winner)).alias("w"), F.max("best").alias("b"), F.count_if(stated).alias("n_texts")
+
+
+def _settled(groups: DataFrame, group) -> DataFrame:
+    """Result of groups decided by support, or by confidence where nothing was cleaned."""
+    return groups.select(
         *group,
-        F.when(by_similarity | (F.col("w.raw") != ""), F.col("w.raw"))
-        .otherwise(F.coalesce("w.clean", "b.raw")).alias("raw_text"),
-        F.coalesce(F.col("w.clean"), F.lit("")).alias("clean_text"),
-        F.when(by_similarity & (F.col("n_texts") == 1), F.col("w.conf_sum"))
-        .when(F.col("w").isNotNull(), round4(F.col("w.conf_sum") / F.col("w.support")))
-        .otherwise(F.col("b.conf")).alias("confidence"),
-        (by_similarity & (F.col("n_texts") > 1)).alias("open"),
-        F.col("n_texts"),
-    )
-    names = buckets.where(F.col(field).isin(K.NAME_FIELDS) & stated)
-    voted = vote_winner(
-        names, picked.where("open").select(*group, "n_texts"), group,
-        lambda vote: F.struct(
-            vote.alias("vote"), F.col("best.conf").alias("conf"),
-            (-F.length("clean_text")).alias("n"), (-F.col("first_ordinal")).alias("neg"),
-        ),
+        F.when(F.col("w.raw") != "", F.col("w.raw")).otherwise(F.coalesce("w.clean", "b.raw")).alias("raw_text"),
+        F.coalesce("w.clean", F.lit("")).alias("clean_text"),
+        F.when(F.col("w").isNotNull(), round4(F.col("w.conf_sum") / F.col("w.support"))).otherwise(F.col("b.conf")).alias("confidence"),
     )
-    columns = [*group, "raw_text", "clean_text", "confidence"]
-    return picked.where(~F.coalesce("open", F.lit(False))).select(columns).unionByName(voted.select(columns))
 
 
-def vote_winner(buckets: DataFrame, sizes: DataFrame, group, rank) -> DataFrame:
-    """Per group the bucket with the highest similarity vote.
+def _name_consensus(reads: DataFrame, group) -> DataFrame:
+    chunked = chunk_rows(text_buckets(reads, group), reads, group, _by_support())
+    differ = F.coalesce(F.col("w.support") == 1, F.lit(False))
+    single = chunked.where("n_chunks = 1")
+    many = chunked.where("n_chunks > 1")
+    # Groups of several chunks: what holds for the whole group decides the way.
+    whole = many.groupBy(*group).agg(F.max("w").alias("w"), F.max("b").alias("b"))
+    split = many.drop("w", "b").join(whole.where(differ).select(*group), group)
+    settled = _settled(single.where(~differ), group).unionByName(_settled(whole.where(~differ), group))
+    voted = vote_winner(single.where(differ), split, group, lambda vote, i: F.struct(
+        vote.alias("vote"), i["best"]["conf"].alias("conf"),
+        (-F.length(i["clean_text"])).alias("n"), (-i["first_ordinal"]).alias("neg"),
+    ))
+    return settled.unionByName(voted)
+
 
-    ``sizes`` names the groups to decide with their number of texts (``n_texts``).  A
-    group is cut into chunks of about CHUNK texts; a task compares one chunk with one
-    chunk and returns one partial vote per text, so a group of any size is spread out and
-    no pair of texts is ever written.  Groups of one chunk, the usual case, skip the join.
+def chunk_rows(buckets: DataFrame, reads: DataFrame, group, extra=()) -> DataFrame:
+    """Texts of a group as arrays of about CHUNK items at most.
+
+    A group has no more texts than reads, so counting reads by key, the cheapest of scans,
+    finds every group that could exceed one chunk; all others are one chunk by themselves.
     """
-    chunks_of = F.ceil(F.col("n_texts") / CHUNK).cast("int")
-    chunked = (
-        buckets.join(sizes, group)
-        .withColumn("n_chunks", chunks_of)
+    crowded = reads.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+    sizes = crowded.select(*group, F.ceil(F.col("n") / CHUNK).cast("int").alias("n_chunks"))
+    item = F.struct("clean_text", "conf_sum", "first_ordinal", "best")
+    return (
+        buckets.join(sizes, group, "left")
+        .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
         .withColumn("chunk", F.pmod(F.xxhash64("clean_text"), F.col("n_chunks")).cast("int"))
         .groupBy(*group, "n_chunks", "chunk")
-        .agg(F.collect_list(F.struct("clean_text", "conf_sum", "first_ordinal", "best")).alias("items"))
+        .agg(F.collect_list(F.when(F.col("clean_text") != "", item)).alias("items"), *extra)
     )
-    single = chunked.where("n_chunks = 1").withColumn("others", F.col("items"))
-    many = chunked.where("n_chunks > 1")
+
+
+def vote_winner(single: DataFrame, many: DataFrame, group, rank) -> DataFrame:
+    """Per group the item with the highest similarity vote.
+
+    ``single``: groups of one chunk, decided in place.  ``many``: chunks of larger groups;
+    a task compares one chunk with one chunk and returns one partial vote per text, so a
+    group of any size is spread out and no pair of texts is ever written.
+    """
+    lone = F.size("items") < 2
+    texts = F.when(~lone, F.col("items.clean_text"))
+    local = single.withColumn("votes", F.when(lone, F.transform("items", lambda i: F.lit(0.0))).otherwise(
+        similarity_votes(texts, texts, F.when(~lone, F.col("items.conf_sum")))))
+    ranked = F.transform(F.arrays_zip("items", "votes"), lambda z: _ranked(rank, F.round(z["votes"], 9), z["items"]))
+    decided = local.select(*group, F.array_max(ranked).alias("w"))
+
     other = many.select(*group, F.col("chunk").alias("other_chunk"), F.col("items").alias("others"))
-    crossed = (
-        many.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .join(other, [*group, "other_chunk"])
+    crossed = many.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).join(other, [*group, "other_chunk"])
+    parts = crossed.withColumn("votes", similarity_votes(
+        F.col("items.clean_text"), F.col("others.clean_text"), F.col("others.conf_sum")))
+    by_item = parts.select(*group, F.explode(F.arrays_zip("items", "votes")).alias("z")).groupBy(
+        *group, F.col("z.items").alias("item")).agg(F.sum("z.votes").alias("vote"))
+    spread = by_item.groupBy(*group).agg(F.max(_ranked(rank, F.round("vote", 9), F.col("item"))).alias("w"))
+    return decided.unionByName(spread).select(
+        *group, F.col("w.item.best.raw").alias("raw_text"), F.col("w.item.clean_text").alias("clean_text"),
+        F.col("w.item.best.conf").alias("confidence"),
     )
 
-    def partial(df):
-        return df.withColumn("votes", similarity_votes(
-            F.col("items.clean_text"), F.col("others.clean_text"), F.col("others.conf_sum"))
-        ).select(*group, F.explode(F.arrays_zip("items", "votes")).alias("v")).select(
-            *group, "v.items.*", F.col("v.votes").alias("part"))
-
-    whole = (
-        partial(crossed)
-        .groupBy(*group, "clean_text")
-        .agg(F.sum("part").alias("part"), F.first("conf_sum").alias("conf_sum"),
-             F.first("first_ordinal").alias("first_ordinal"), F.first("best").alias("best"))
-    )
-    votes = partial(single).unionByName(whole)
-    return votes.groupBy(*group).agg(
-        F.max(F.struct(rank(F.round("part", 9)).alias("k"), F.col("clean_text").alias("clean"),
-                       F.col("best").alias("best"))).alias("w")
-    ).select(
-        *group, F.col("w.best.raw").alias("raw_text"), F.col("w.clean").alias("clean_text"),
-        F.col("w.best.conf").alias("confidence"),
-    )
+
+def _ranked(rank, vote, item):
+    return F.struct(rank(vote, item).alias("k"), item.alias("item"))

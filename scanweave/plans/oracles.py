@@ -573,11 +573,14 @@ g as (select *, cast(greatest(4, trunc(greatest(1, x2 - x1) * ex)) as int) as gx
 m as (select *, unnest([{_move_rows}]) as v from g),
 c0 as (select *, greatest(0, least(1599, x1 + v.a)) as l, greatest(0, least(2199, y1 + v.b)) as t from m),
 c1 as (select *, greatest(l + 1, least(1600, x2 + v.c)) as rr, greatest(t + 1, least(2200, y2 + v.d)) as bb from c0),
-u as (select rowid_, doc_id, field, l, t, rr, bb, min(v.i) as i,
-    any_value((abs(l - x1) + abs(t - y1) + abs(rr - x2) + abs(bb - y2)) / greatest(1, (x2 - x1) + (y2 - y1))) as far
-  from c1 where rr - l >= 12 and bb - t >= 12 group by all)
-select doc_id, field, cast(row_number() over (partition by rowid_ order by i) - 1 as int) as roi_ordinal, round(far, 9) as distance,
-  cast(l as int) as roi_x1, cast(t as int) as roi_y1, cast(rr as int) as roi_x2, cast(bb as int) as roi_y2 from u"""
+c2 as (select *, rr - l >= 12 and bb - t >= 12 as ok from c1),
+u as (select rowid_, doc_id, field, case when ok then l end as l, case when ok then t end as t, case when ok then rr end as rr, case when ok then bb end as bb,
+    min(v.i) as i, any_value((abs(l - x1) + abs(t - y1) + abs(rr - x2) + abs(bb - y2)) / greatest(1, (x2 - x1) + (y2 - y1))) as far
+  from c2 group by all),
+-- all variants that got too small count as one
+n as (select *, row_number() over (partition by rowid_ order by i) - 1 as place from u)
+select doc_id, field, cast(place as int) as roi_ordinal, round(far, 9) as distance,
+  cast(l as int) as roi_x1, cast(t as int) as roi_y1, cast(rr as int) as roi_x2, cast(bb as int) as roi_y2 from n where l is not null"""
 
 ORACLES["refine_winner"] = f"""
 with r as (select l_orderkey as doc_id, case when l_linenumber = 1 then -1 else {ordinal()} end as roi_ordinal, {ordinal()} as o,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanweave import constants as K
 from scanweave.functions.geometry import roi
+from scanweave.sources.tables import read_table
 
 LABEL_LINES = {
     "LAST NAME / SURNAME": 0.298,
@@ -36,7 +37,7 @@ MIMES = ["image/jpeg", "IMAGE/PNG", "image/webp", "", "image/gif", "text/html"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, f"{d}/{name}.parquet")
 
 
 def pick(values, index: Column) -> Column:

@@ -5,7 +5,7 @@ Reads are first reduced to one row per distinct cleaned text.  That step spreads
 small aggregation.  No step collects the reads of a group.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave import constants as K
@@ -37,47 +37,39 @@ def consensus(reads: DataFrame, keys=("doc_id",), field="field") -> DataFrame:
     """
     group = [*keys, field]
     is_name = F.col(field).isin(K.NAME_FIELDS)
-    others = text_buckets(reads.where(~is_name), group).groupBy(*group).agg(*_by_support())
-    return _settled(others, group).unionByName(_name_consensus(reads.where(is_name), group))
-
-
-def _by_support():
-    """Aggregates over buckets: the best supported text and the most confident read."""
     stated = F.col("clean_text") != ""
     winner = F.struct(
         F.col("support"), F.col("conf_sum"), F.length("clean_text").alias("n"),
         (-F.col("first_ordinal")).alias("neg"), F.col("clean_text").alias("clean"), F.col("last_raw").alias("raw"),
     )
-    return F.max(F.when(stated, winner)).alias("w"), F.max("best").alias("b"), F.count_if(stated).alias("n_texts")
-
-
-def _settled(groups: DataFrame, group) -> DataFrame:
-    """Result of groups decided by support, or by confidence where nothing was cleaned."""
-    return groups.select(
-        *group,
+    chunked = chunk_rows(
+        text_buckets(reads, group), reads.where(is_name), group, votes_for=is_name & stated,
+        extra=(F.max(F.when(stated, winner)).alias("w"), F.max("best").alias("b")),
+    )
+    settled = F.struct(
         F.when(F.col("w.raw") != "", F.col("w.raw")).otherwise(F.coalesce("w.clean", "b.raw")).alias("raw_text"),
         F.coalesce("w.clean", F.lit("")).alias("clean_text"),
         F.when(F.col("w").isNotNull(), round4(F.col("w.conf_sum") / F.col("w.support"))).otherwise(F.col("b.conf")).alias("confidence"),
     )
+    differ = is_name & F.coalesce(F.col("w.support") == 1, F.lit(False))
 
+    def rank(vote, i):
+        return F.struct(
+            vote.alias("vote"), i["best"]["conf"].alias("conf"),
+            (-F.length(i["clean_text"])).alias("n"), (-i["first_ordinal"]).alias("neg"),
+        )
 
-def _name_consensus(reads: DataFrame, group) -> DataFrame:
-    chunked = chunk_rows(text_buckets(reads, group), reads, group, _by_support())
-    differ = F.coalesce(F.col("w.support") == 1, F.lit(False))
-    single = chunked.where("n_chunks = 1")
+    single = chunked.where("n_chunks = 1").select(
+        *group, F.when(differ, local_winner(F.when(differ, F.col("items")), rank)).otherwise(settled).alias("r"))
+    # Names with more texts than one chunk holds: what is true of the whole group decides.
     many = chunked.where("n_chunks > 1")
-    # Groups of several chunks: what holds for the whole group decides the way.
     whole = many.groupBy(*group).agg(F.max("w").alias("w"), F.max("b").alias("b"))
-    split = many.drop("w", "b").join(whole.where(differ).select(*group), group)
-    settled = _settled(single.where(~differ), group).unionByName(_settled(whole.where(~differ), group))
-    voted = vote_winner(single.where(differ), split, group, lambda vote, i: F.struct(
-        vote.alias("vote"), i["best"]["conf"].alias("conf"),
-        (-F.length(i["clean_text"])).alias("n"), (-i["first_ordinal"]).alias("neg"),
-    ))
-    return settled.unionByName(voted)
+    spread = spread_winner(many.drop("w", "b").join(whole.where(differ).select(*group), group), group, rank)
+    rest = whole.where(~differ).select(*group, settled.alias("r"))
+    return single.unionByName(rest).unionByName(spread).select(*group, "r.*")
 
 
-def chunk_rows(buckets: DataFrame, reads: DataFrame, group, extra=()) -> DataFrame:
+def chunk_rows(buckets: DataFrame, reads: DataFrame, group, votes_for=None, extra=()) -> DataFrame:
     """Texts of a group as arrays of about CHUNK items at most.
 
     A group has no more texts than reads, so counting reads by key, the cheapest of scans,
@@ -91,36 +83,43 @@ def chunk_rows(buckets: DataFrame, reads: DataFrame, group, extra=()) -> DataFra
         .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
         .withColumn("chunk", F.pmod(F.xxhash64("clean_text"), F.col("n_chunks")).cast("int"))
         .groupBy(*group, "n_chunks", "chunk")
-        .agg(F.collect_list(F.when(F.col("clean_text") != "", item)).alias("items"), *extra)
+        .agg(F.collect_list(item if votes_for is None else F.when(votes_for, item)).alias("items"), *extra)
     )
 
 
-def vote_winner(single: DataFrame, many: DataFrame, group, rank) -> DataFrame:
-    """Per group the item with the highest similarity vote.
+def _ranked(rank, vote, item):
+    return F.struct(rank(vote, item).alias("k"), item.alias("item"))
 
-    ``single``: groups of one chunk, decided in place.  ``many``: chunks of larger groups;
-    a task compares one chunk with one chunk and returns one partial vote per text, so a
-    group of any size is spread out and no pair of texts is ever written.
-    """
-    lone = F.size("items") < 2
-    texts = F.when(~lone, F.col("items.clean_text"))
-    local = single.withColumn("votes", F.when(lone, F.transform("items", lambda i: F.lit(0.0))).otherwise(
-        similarity_votes(texts, texts, F.when(~lone, F.col("items.conf_sum")))))
-    ranked = F.transform(F.arrays_zip("items", "votes"), lambda z: _ranked(rank, F.round(z["votes"], 9), z["items"]))
-    decided = local.select(*group, F.array_max(ranked).alias("w"))
 
+def _result(w):
+    return F.struct(
+        w["item"]["best"]["raw"].alias("raw_text"), w["item"]["clean_text"].alias("clean_text"),
+        w["item"]["best"]["conf"].alias("confidence"),
+    )
+
+
+def local_winner(items: Column, rank) -> Column:
+    """Item with the highest similarity vote of a group that is one array.  A lone item wins
+    without a vote and an absent array costs nothing."""
+    voting = F.when(F.size(items) > 1, items)
+    votes = F.coalesce(
+        similarity_votes(voting["clean_text"], voting["clean_text"], voting["conf_sum"]),
+        F.transform(items, lambda i: F.lit(0.0)),
+    )
+    ranked = F.zip_with(items, votes, lambda i, v: _ranked(rank, F.round(v, 9), i))
+    return _result(F.array_max(ranked))
+
+
+def spread_winner(many: DataFrame, group, rank) -> DataFrame:
+    """The same for groups of several chunks: a task compares one chunk with one chunk and
+    returns one partial vote per text, so a group of any size is spread out and no pair of
+    texts is ever written."""
     other = many.select(*group, F.col("chunk").alias("other_chunk"), F.col("items").alias("others"))
     crossed = many.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).join(other, [*group, "other_chunk"])
     parts = crossed.withColumn("votes", similarity_votes(
         F.col("items.clean_text"), F.col("others.clean_text"), F.col("others.conf_sum")))
     by_item = parts.select(*group, F.explode(F.arrays_zip("items", "votes")).alias("z")).groupBy(
         *group, F.col("z.items").alias("item")).agg(F.sum("z.votes").alias("vote"))
-    spread = by_item.groupBy(*group).agg(F.max(_ranked(rank, F.round("vote", 9), F.col("item"))).alias("w"))
-    return decided.unionByName(spread).select(
-        *group, F.col("w.item.best.raw").alias("raw_text"), F.col("w.item.clean_text").alias("clean_text"),
-        F.col("w.item.best.conf").alias("confidence"),
-    )
-
-
-def _ranked(rank, vote, item):
-    return F.struct(rank(vote, item).alias("k"), item.alias("item"))
+    return by_item.groupBy(*group).agg(
+        F.max(_ranked(rank, F.round("vote", 9), F.col("item"))).alias("w")
+    ).select(*group, _result(F.col("w")).alias("r"))

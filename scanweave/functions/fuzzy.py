@@ -37,16 +37,11 @@ def reaches(a: str, b: str, floor: float) -> bool:
 
 def per_distinct(fn, *columns):
     """fn over the distinct argument tuples of a batch, NULL where an argument is NULL."""
-    frame = pd.concat([c.reset_index(drop=True) for c in columns], axis=1, ignore_index=True)
-    live = frame.notna().all(axis=1)
     known = {}
     out = []
-    for ok, row in zip(live, frame.itertuples(index=False, name=None)):
-        if not ok:
-            out.append(None)
-            continue
+    for row in zip(*(c.tolist() for c in columns)):
         if row not in known:
-            known[row] = fn(*row)
+            known[row] = None if None in row else fn(*row)
         out.append(known[row])
     return pd.Series(out, dtype=object)
 
@@ -146,10 +141,10 @@ def phrase_score(text: str, phrase: str) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def best_phrase_score(text: pd.Series, phrases: pd.Series) -> pd.Series:
+def anchor_score(text: pd.Series, anchor: pd.Series) -> pd.Series:
+    """Best phrase score of a normalized row for the phrases of an anchor."""
     return per_distinct(
-        lambda t, ps: max(phrase_score(t, p) for p in ps), text, phrases.map(
-            lambda ps: None if ps is None else tuple(ps))
+        lambda t, name: max(phrase_score(t, p) for p in K.ANCHORS[name]["phrases"]), text, anchor
     ).astype("float64")
 
 
@@ -159,8 +154,6 @@ def similarity_votes(targets: pd.Series, texts: pd.Series, weights: pd.Series) -
     """For every target the sum over texts of ratio(target, text) * weight."""
 
     def votes(ts, others, ws):
-        if ts is None:
-            return None
         return [sum(gestalt_ratio(t, o) * w for o, w in zip(others, ws)) for t in ts]
 
     return pd.Series([votes(*row) for row in zip(targets, texts, weights)])

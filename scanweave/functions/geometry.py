@@ -56,9 +56,9 @@ def shifted_rois(width: Column, height: Column, scale: Column, offset: Column,
     is at least 12 pixels high and the fields keep their order down the page."""
     templates = template_rois() if templates is None else templates
 
-    def moved(t):
-        top = F.bround(height * t["y1"] * scale + offset).cast("int")
-        low = F.bround(height * t["y2"] * scale + offset).cast("int")
+    def moved(t, fit):
+        top = F.bround(height * t["y1"] * fit["scale"] + fit["offset"]).cast("int")
+        low = F.bround(height * t["y2"] * fit["scale"] + fit["offset"]).cast("int")
         y1 = F.greatest(F.lit(0), F.least(height.cast("int") - 2, top))
         y2 = F.greatest(y1 + 1, F.least(height.cast("int"), low))
         return F.struct(t["field"].alias("field"),
@@ -74,7 +74,8 @@ def shifted_rois(width: Column, height: Column, scale: Column, offset: Column,
         )
         return F.when(tall & (tops == F.array_sort(tops)), rs)
 
-    return let(F.transform(templates, moved), checked)
+    fit = F.struct(scale.alias("scale"), offset.alias("offset"))
+    return let(let(fit, lambda f: F.transform(templates, lambda t: moved(t, f))), checked)
 
 
 def choose_rois(dynamic_clean: Column, dynamic_base: Column, fixed: Column) -> Column:

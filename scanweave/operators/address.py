@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanweave import constants as K
 from scanweave.functions.fuzzy import seq_ratio
 from scanweave.functions.text import address_line, clean_generic, round4, tokens
-from scanweave.operators.consensus import chunk_rows, local_winner, spread_winner, text_buckets
+from scanweave.operators.consensus import chunk_rows, item_read, local_winner, spread_winner, text_buckets
 
 PREPARED_BONUS = 0.03
 
@@ -36,8 +36,10 @@ def line_winners(reads: DataFrame, key="doc_id") -> DataFrame:
             i["best"]["neg"].alias("neg"),
         )
 
-    single = chunked.where("n_chunks = 1").select(*group, local_winner(F.col("items"), rank).alias("r"))
-    return single.unionByName(spread_winner(chunked.where("n_chunks > 1"), group, rank)).select(*group, "r.*")
+    single = chunked.where("n_chunks = 1")
+    alone = single.where(F.size("items") == 1).select(*group, item_read(F.get("items", F.lit(0))).alias("r"))
+    voted = single.where(F.size("items") > 1).select(*group, local_winner(F.col("items"), rank).alias("r"))
+    return alone.unionByName(voted).unionByName(spread_winner(chunked.where("n_chunks > 1"), group, rank)).select(*group, "r.*")
 
 
 def roll_up_lines(winners: DataFrame, key="doc_id") -> DataFrame:

@@ -59,14 +59,19 @@ def consensus(reads: DataFrame, keys=("doc_id",), field="field") -> DataFrame:
             (-F.length(i["clean_text"])).alias("n"), (-i["first_ordinal"]).alias("neg"),
         )
 
-    single = chunked.where("n_chunks = 1").select(
-        *group, F.when(differ, local_winner(F.when(differ, F.col("items")), rank)).otherwise(settled).alias("r"))
+    # Only groups that need votes take the Python step.  The branches part after the same
+    # aggregation, so they share its shuffle.
+    single = chunked.where("n_chunks = 1")
+    votes_needed = differ & (F.size("items") > 1)
+    alone = F.get("items", F.lit(0))
+    decided = single.where(~votes_needed).select(*group, F.when(differ, item_read(alone)).otherwise(settled).alias("r"))
+    voted = single.where(votes_needed).select(*group, local_winner(F.col("items"), rank).alias("r"))
     # Names with more texts than one chunk holds: what is true of the whole group decides.
     many = chunked.where("n_chunks > 1")
     whole = many.groupBy(*group).agg(F.max("w").alias("w"), F.max("b").alias("b"))
     spread = spread_winner(many.drop("w", "b").join(whole.where(differ).select(*group), group), group, rank)
     rest = whole.where(~differ).select(*group, settled.alias("r"))
-    return single.unionByName(rest).unionByName(spread).select(*group, "r.*")
+    return decided.unionByName(voted).unionByName(rest).unionByName(spread).select(*group, "r.*")
 
 
 def chunk_rows(buckets: DataFrame, reads: DataFrame, group, votes_for=None, extra=()) -> DataFrame:
@@ -91,23 +96,18 @@ def _ranked(rank, vote, item):
     return F.struct(rank(vote, item).alias("k"), item.alias("item"))
 
 
-def _result(w):
+def item_read(item):
     return F.struct(
-        w["item"]["best"]["raw"].alias("raw_text"), w["item"]["clean_text"].alias("clean_text"),
-        w["item"]["best"]["conf"].alias("confidence"),
+        item["best"]["raw"].alias("raw_text"), item["clean_text"].alias("clean_text"),
+        item["best"]["conf"].alias("confidence"),
     )
 
 
 def local_winner(items: Column, rank) -> Column:
-    """Item with the highest similarity vote of a group that is one array.  A lone item wins
-    without a vote and an absent array costs nothing."""
-    voting = F.when(F.size(items) > 1, items)
-    votes = F.coalesce(
-        similarity_votes(voting["clean_text"], voting["clean_text"], voting["conf_sum"]),
-        F.transform(items, lambda i: F.lit(0.0)),
-    )
+    """Item with the highest similarity vote of a group that is one array."""
+    votes = similarity_votes(items["clean_text"], items["clean_text"], items["conf_sum"])
     ranked = F.zip_with(items, votes, lambda i, v: _ranked(rank, F.round(v, 9), i))
-    return _result(F.array_max(ranked))
+    return item_read(F.array_max(ranked)["item"])
 
 
 def spread_winner(many: DataFrame, group, rank) -> DataFrame:
@@ -122,4 +122,4 @@ def spread_winner(many: DataFrame, group, rank) -> DataFrame:
         *group, F.col("z.items").alias("item")).agg(F.sum("z.votes").alias("vote"))
     return by_item.groupBy(*group).agg(
         F.max(_ranked(rank, F.round("vote", 9), F.col("item"))).alias("w")
-    ).select(*group, _result(F.col("w")).alias("r"))
+    ).select(*group, item_read(F.col("w.item")).alias("r"))

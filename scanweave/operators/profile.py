@@ -64,6 +64,8 @@ def project_profile(profiles: DataFrame, fields, key="doc_id") -> DataFrame:
     per_row = isinstance(fields, Column)
     wanted = fields if per_row else F.array(*[F.lit(f) for f in fields])
     public = public_engine_fields(wanted)
+    # Metadata alone shows every field.
+    public = F.when(F.size(public) > 0, public).otherwise(F.array(*[F.lit(f) for f in K.ENGINE_FIELDS]))
 
     def column(f):
         value = F.col(f)

@@ -38,7 +38,7 @@ def field_results(text_reads, address_reads=None, address_lines=None, box_reads=
                   output_fields=None, current_year=DEFAULT_CURRENT_YEAR) -> DataFrame:
     """One row per document and field from whatever reads are given.  Only the fields the
     requested outputs need are worked on."""
-    needed = {f for o in (output_fields or K.PRIMARY_FIELDS) for f in K.REQUIRED_ENGINE_FIELDS.get(o, [])}
+    needed = {f for o in (output_fields or K.PRIMARY_FIELDS) for f in K.REQUIRED_ENGINE_FIELDS.get(o, [])} or set(K.ENGINE_FIELDS)
     text_fields = [f for f in ("name", "father_name", "state", "pin") if f in needed]
     none = F.lit(None).cast("array<string>")
     parts = []

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import ngram_join
+from scanweave.llm import decontaminate, ngram_join
 from scanweave.llm.shared import table
 from scanweave.shipping import ship
 
@@ -31,14 +31,14 @@ with recursive docs as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
     from documents),
 shingles as (
-    select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(len(w) - 4), i -> array_to_string(w[i + 1:i + 5], ' '))
+    select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))
                                         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
     from docs),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
-overlaps as (
+common as (
     select a.doc_id as d, b.doc_id as e, count(*) as both from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
 links as (
-    select o.d, o.e from overlaps o join sizes x on x.doc_id = o.d join sizes y on y.doc_id = o.e
+    select o.d, o.e from common o join sizes x on x.doc_id = o.d join sizes y on y.doc_id = o.e
     where 100 * o.both >= 75 * (x.n + y.n - o.both)),
 reach as (select d, e from links union select r.d, l.e from reach r join links l on l.d = r.e)
 select k.doc_id, coalesce(s.n, 0)::bigint as n_shingles,
@@ -46,3 +46,31 @@ select k.doc_id, coalesce(s.n, 0)::bigint as n_shingles,
        coalesce((select count(*) from links l where l.d = k.doc_id), 0)::bigint as n_links
 from docs k left join sizes s using (doc_id)
 """
+
+
+@query
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op4_benchmark_decontamination"] = r"""
+with docs as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents),
+items as (
+    select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark),
+windows as (
+    select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(greatest(1, len(w) - 9)), lambda i: array_to_string(w[i + 1:i + 10], ' '))) as s
+    from items where len(w) > 0),
+spots as (
+    select d.doc_id, n, unnest(range(len(w) - n + 1)) as i, w
+    from docs d, (select distinct n from windows) where len(w) >= n),
+hits as (
+    select s.doc_id, s.i, s.n, x.item_id from spots s join windows x on x.n = s.n and x.s = array_to_string(s.w[s.i + 1:s.i + s.n], ' ')),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hits) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join covered using (doc_id) left join named using (doc_id)
+"""

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 SLICE_ROWS = 1 << 15
 
 
@@ -76,6 +76,7 @@ def slices(batches, column="text", limit=SLICE_BYTES, rows=SLICE_ROWS):
             to = min(max(at + 1, int(np.searchsorted(ends, base + limit, "right"))), at + rows, batch.num_rows)
             yield batch.slice(at, to - at), texts.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(texts):
@@ -109,3 +110,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def binaries(values) -> pa.Array:
     return pa.array(values, pa.binary())
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast if a count shows at most so many (short) rows, else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -2,10 +2,13 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import decontaminate, ngram_join
+from scanweave.llm import bpe, decontaminate, ngram_join
 from scanweave.llm.shared import table
 from scanweave.shipping import ship
 
+WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
+
 QUERIES = {}
 ORACLES = {}
 
@@ -48,6 +51,20 @@ from docs k left join sizes s using (doc_id)
 """
 
 
+def vocabulary_file(name) -> bytes:
+    """A vocabulary file of the installed tokenizers, as bytes; it is a few MB."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query
+def op3_bpe_encoding(spark, sf_dir):
+    docs, raw = table(spark, sf_dir, "documents"), vocabulary_file(WORD_BPE)
+    return bpe.digests(bpe.encode(docs, raw, bpe.lexicon_of(docs, raw), decoded=True))
+
+
 @query
 def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import bpe, decontaminate, ngram_join
+from scanweave.llm import bpe, decontaminate, ngram_join, outliers, toxicity
 from scanweave.llm.shared import table
 from scanweave.shipping import ship
 
@@ -51,6 +51,11 @@ from docs k left join sizes s using (doc_id)
 """
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def vocabulary_file(name) -> bytes:
     """A vocabulary file of the installed tokenizers, as bytes; it is a few MB."""
     import public_tokenizers
@@ -91,3 +96,8 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs d left join covered using (doc_id) left join named using (doc_id)
 """
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))

@@ -37,6 +37,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> Column:
+    """128 bits of doc_id and text, to tell rows apart when doc_ids repeat or are NULL."""
+    return F.concat_ws("-", F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1)))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

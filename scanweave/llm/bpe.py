@@ -27,6 +27,7 @@ from scanweave.llm.shared import slices, words_of
 LEXICON_WORDS = 1 << 16
 MEMO = 200_000
 WORD_END = "</w>"
+_NEVER = 1 << 30
 
 # fixed values of the file format: white space and the pieces a text falls into
 _SPACE = r"\x09-\x0D\x85\p{Z}"
@@ -80,11 +81,17 @@ class Vocabulary:
         ranks, n = self.ranks, len(signs)
         if n > 32:
             signs = self._merge_long(signs)
-        while n <= 32 and len(signs) > 1:
-            best, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(signs, signs[1:])))
-            if best == 1 << 30:
-                break
-            signs[at : at + 2] = [signs[at] + signs[at + 1]]
+        else:
+            order = [ranks.get(p, _NEVER) for p in zip(signs, signs[1:])]
+            while order and (best := min(order)) != _NEVER:
+                at = order.index(best)
+                one = signs[at] + signs[at + 1]
+                signs[at : at + 2] = [one]
+                del order[at]
+                if at < len(order):
+                    order[at] = ranks.get((one, signs[at + 1]), _NEVER)
+                if at:
+                    order[at - 1] = ranks.get((signs[at - 1], one), _NEVER)
         return [self.ids[s] for s in signs]
 
     def _merge_long(self, signs):
@@ -292,7 +299,7 @@ def encode(documents: DataFrame, vocabulary: bytes, lexicon: bytes | None = None
 
     def run(batches):
         coder = _coder(raw, blob)
-        for rows, texts in slices(batches, limit=4 << 20):
+        for rows, texts in slices(batches):
             ids, starts = coder.encode(texts)
             arrays = [rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))]
             if decoded:

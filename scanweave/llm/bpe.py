@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from scanweave.llm.shared import slices, words_of
+from scanweave.llm.shared import settle, slices, words_of
 
 LEXICON_WORDS = 1 << 16
 MEMO = 200_000
@@ -281,9 +281,18 @@ def word_counts(documents: DataFrame, vocabulary: bytes) -> DataFrame:
 
 
 def lexicon_of(documents: DataFrame, vocabulary: bytes, words: int = LEXICON_WORDS) -> bytes:
-    """The transducer of the most frequent words; at most so many reach the driver.  It only
-    decides what is looked up and what is merged, not the ids."""
-    top = word_counts(documents, vocabulary).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    """The transducer of the most frequent words.  Words of about equal count enter together as
+    long as there is room; at most so many reach the driver, whatever the number of tasks.
+    The lexicon only decides what is looked up and what is merged, not the ids."""
+    counted = settle(word_counts(documents, vocabulary).where(F.length("word") <= 64))
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    cut, taken = None, 0
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        taken += r["count"]
+        if taken > words:
+            break
+        cut = r.level
+    top = counted.where(level >= cut).select("word").collect() if cut is not None else []
     v = Vocabulary(vocabulary)
     return compile_lexicon({r.word: v.merge(r.word) for r in top})
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import bpe, decontaminate, ngram_join, outliers, toxicity
+from scanweave.llm import bpe, decontaminate, ngram_join, outliers, reputation, toxicity
 from scanweave.llm.shared import table
 from scanweave.shipping import ship
 
@@ -98,6 +98,45 @@ from docs d left join covered using (doc_id) left join named using (doc_id)
 """
 
 
+@query
+def op5_url_filters(spark, sf_dir):
+    return reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op5_url_filters"] = r"""
+with parsed as (
+    select page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) as path
+    from pages),
+known as (select doc_id, max(1 - quality) as bad from labels where quality in (0, 1) and doc_id is not null group by doc_id),
+hosts as (
+    select host, count(bad) as n, coalesce(sum(bad), 0) as bad, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix
+    from parsed left join known on doc_id = page_id group by host),
+domains as (select domain, suffix, sum(n) as n, sum(bad) as bad from hosts group by domain, suffix),
+tops as (select suffix, sum(n) as n, sum(bad) as bad from domains group by suffix),
+moments as (select sum(bad) / sum(n) as mean, sum((bad / n) * (bad / n) * n) / sum(n) as square from tops where n > 0),
+prior as (
+    select coalesce(mean, 0.5::double) as mean,
+           coalesce(case when square - mean * mean > 0 then greatest(1, least(100, mean * (1 - mean) / (square - mean * mean) - 1)) end, 2::double) as strength
+    from moments),
+top as (select suffix, (bad + strength * mean) / (n + strength) as mean, strength from tops, prior),
+middle as (select domain, (d.bad + strength * mean) / (d.n + strength) as mean, strength from domains d join top using (suffix)),
+posterior as (select host, h.bad + strength * mean as a, h.n - h.bad + strength * (1 - mean) as b from hosts h join middle using (domain)),
+standing as (
+    select host, round(a / (a + b), 9) as bad_rate, round(greatest(0, a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 9) as bound from posterior),
+ruled as (
+    select *, case when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+                   when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+                   when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+                   when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule
+    from parsed)
+select page_id, r.host, path, rule,
+       case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' when bound > 0.5 then 'block' else 'allow' end as verdict,
+       bad_rate, bound
+from ruled r join standing using (host)
+"""
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     return outliers.quality_rules(table(spark, sf_dir, "documents"))

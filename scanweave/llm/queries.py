@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import bpe, decontaminate, ngram_join, outliers, reputation, toxicity
+from scanweave.llm import bpe, decontaminate, ngram_join, outliers, reputation, token_files, toxicity
 from scanweave.llm.shared import table
 from scanweave.shipping import ship
 
@@ -137,6 +137,12 @@ from ruled r join standing using (host)
 """
 
 
+@query
+def op8_token_binary_output(spark, sf_dir):
+    path = token_files.write_ids(table(spark, sf_dir, "documents"), vocabulary_file(BYTE_BPE))
+    return token_files.read_summary(spark, path)
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     return outliers.quality_rules(table(spark, sf_dir, "documents"))

@@ -334,9 +334,9 @@ def decode(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens and digests of ids and decoded text."""
+def digests(encoded: DataFrame, *more) -> DataFrame:
+    """n_tokens and digests of ids and decoded text, and more columns if asked for."""
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *more)

@@ -10,7 +10,7 @@ is DataFrame work; whole texts move once, next to the few places to look at.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.shared import bounded, row_key, settle
+from scanweave.llm.shared import bounded, row_key, settle, spare
 
 WIDTH = 10
 ANCHORS = 2
@@ -128,6 +128,7 @@ def near_matches(documents: DataFrame, benchmark: DataFrame, slop: int, width: i
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a benchmark window.  Rows are told apart by
     doc_id and text, so that rows with equal ids are judged each by its own text."""
-    keyed = documents.withColumn("_row", row_key())
-    bad = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(bad, "_row", "left_anti").drop("_row")
+    row = spare(documents, "_row")
+    keyed = documents.withColumn(row, row_key())
+    bad = contamination(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(bad, row, "left_anti").drop(row)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave.llm.components import components
-from scanweave.llm.shared import binaries, mix, parts, settle, slices, word_hashes, words_of
+from scanweave.llm.shared import binaries, mix, parts, settle, slices, spare, word_hashes, words_of
 
 WIDTH = 5
 BLOCK_SETS = 2048
@@ -382,6 +382,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without all but the least doc_id of each group of linked ones.  Of rows
     that repeat a doc_id and text one stays; rows without a doc_id stay."""
     kept = ngram_links(documents).where("component_id = doc_id").select("doc_id").distinct()
+    nth = spare(documents, "_nth")
     once = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(
-        "_row", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))).where("_row = 1").drop("_row")
-    return once.unionByName(documents.where("doc_id is null"))
+        nth, F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))).where(F.col(nth) == 1).drop(nth)
+    return once.unionByName(documents.where("doc_id is null")).select(documents.columns)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.shared import row_key, settle, slices, words_of
+from scanweave.llm.shared import row_key, settle, slices, spare, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS = 50
@@ -194,6 +194,7 @@ def quality_rules(documents: DataFrame, keys=("doc_id",), limit: float = LIMIT)
 
 def without_outliers(documents: DataFrame) -> DataFrame:
     """The documents that are kept; rows are told apart by doc_id and text."""
-    keyed = documents.withColumn("_row", row_key())
-    bad = quality_rules(keyed, ("_row",)).where("not kept").select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").drop("_row")
+    row = spare(documents, "_row")
+    keyed = documents.withColumn(row, row_key())
+    bad = quality_rules(keyed.select(row, "text", "lang", "source"), (row,)).where("not kept").select(row).distinct()
+    return keyed.join(bad, row, "left_anti").drop(row)

@@ -1,14 +1,13 @@
 """The operators as queries over whole tables, and the SQL to check them by."""
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import bpe, chat, decontaminate, ngram_join, outliers, reputation, token_files, toxicity
+from scanweave.llm import bpe, chat, decontaminate, neighbours, ngram_join, ngram_lm, outliers, reputation, token_files, toxicity
 from scanweave.llm.shared import table
+from scanweave.llm.vocabularies import BYTE_BPE, WORD_BPE, vocabulary_file
 from scanweave.shipping import ship
 
-WORD_BPE = "word_bpe_49k.json"
-BYTE_BPE = "byte_bpe_50k.json"
-
 QUERIES = {}
 ORACLES = {}
 
@@ -56,14 +55,6 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def vocabulary_file(name) -> bytes:
-    """A vocabulary file of the installed tokenizers, as bytes; it is a few MB."""
-    import public_tokenizers
-
-    with open(public_tokenizers.path(name), "rb") as f:
-        return f.read()
-
-
 @query
 def op3_bpe_encoding(spark, sf_dir):
     docs, raw = table(spark, sf_dir, "documents"), vocabulary_file(WORD_BPE)
@@ -137,6 +128,16 @@ from ruled r join standing using (host)
 """
 
 
+@query
+def op6_quality_classifier(spark, sf_dir):
+    return neighbours.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_lm_scoring(spark, sf_dir):
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_binary_output(spark, sf_dir):
     path = token_files.write_ids(table(spark, sf_dir, "documents"), vocabulary_file(BYTE_BPE))
@@ -157,3 +158,12 @@ def op10_chat_formatting(spark, sf_dir):
     own = spark.createDataFrame([(-1, 0, "user", CONTROL_STRINGS), (-1, 1, "assistant", CONTROL_STRINGS)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     return chat.formatted_and_read(rows.unionByName(own), vocabulary_file(BYTE_BPE))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

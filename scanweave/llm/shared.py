@@ -42,6 +42,14 @@ def row_key() -> Column:
     return F.concat_ws("-", F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1)))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.shared import held_out, row_key, slices, training_sample
+from scanweave.llm.shared import held_out, slices, training_sample
 
 SAMPLE_PER_CLASS = 6000
 LEXICON_SIZE = 2000
@@ -169,18 +169,17 @@ def calibrate(x, y, weight, steps: int = 50):
     return beta
 
 
-def _scored(documents: DataFrame, labels: DataFrame, keys, per_class, exceptions) -> DataFrame:
-    """The key columns and score of every row."""
-    spark = documents.sparkSession
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, exceptions=EXCEPTIONS):
+    """Lexicon and logistic curve (a, b) from at most per_class labelled documents of each
+    class that are not held out."""
     sample = training_sample(documents, labels, "toxic", per_class).select("text", "y")
-    weights = spark.sparkContext.broadcast(learn_lexicon(sample))
-    fitted = sample.mapInArrow(_raw(weights, exceptions), "y int, raw double").groupBy("y", F.round("raw", 3).alias("raw")).count().collect()
+    weights = learn_lexicon(sample)
+    known = sample.sparkSession.sparkContext.broadcast(weights)
+    fitted = sample.mapInArrow(_raw(known, exceptions), "y int, raw double").groupBy("y", F.round("raw", 3).alias("raw")).count().orderBy("y", "raw").collect()
     share = {r.toxic: r["count"] for r in labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()}
     taken = {y: max(1, sum(r["count"] for r in fitted if r.y == y)) for y in (0, 1)}
     a, b = calibrate([r.raw for r in fitted], [r.y for r in fitted], [r["count"] * share.get(r.y, 1) / taken[r.y] for r in fitted]).tolist()
-    kinds = ", ".join(f"{k} {documents.schema[k].dataType.simpleString()}" for k in keys)
-    raw = documents.select(*keys, "text").mapInArrow(_raw(weights, exceptions), f"{kinds}, raw double")
-    return raw.select(*keys, (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("raw"))))).alias("score"))
+    return weights, a, b
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, exceptions=EXCEPTIONS, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,13 +189,23 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, per_class: int = SA
     not held out; the score reads the text alone.  NULL and empty texts have the score of a
     text without a match.  Without usable labels the seeds decide.  Equal rows get equal
     scores; other columns are not read."""
-    return _scored(documents, labels, ["doc_id"], per_class, exceptions).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    weights, a, b = fit(documents, labels, per_class, exceptions)
+    known = documents.sparkSession.sparkContext.broadcast(weights)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    raw = documents.select("doc_id", "text").mapInArrow(_raw(known, exceptions), f"doc_id {kind}, raw double")
+    scored = raw.select("doc_id", (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("raw"))))).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not predicted to be toxic; rows are told apart by doc_id and
-    text."""
-    keyed = documents.withColumn("_row", row_key())
-    bad = _scored(keyed, labels, ["_row"], SAMPLE_PER_CLASS, EXCEPTIONS).where(F.col("score") >= threshold).select("_row").distinct()
-    return keyed.join(bad, "_row", "left_anti").drop("_row")
+def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, exceptions=EXCEPTIONS) -> DataFrame:
+    """The documents that are not predicted to be toxic, with all their columns, in one pass."""
+    weights, a, b = fit(documents, labels, exceptions=exceptions)
+    known = documents.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        matcher = Matcher(known.value, exceptions)
+        for rows, texts in slices(batches):
+            raw = np.array([matcher.raw(t) for t in texts.to_pylist()])
+            yield rows.filter(pa.array(1 / (1 + np.exp(-(a + b * raw))) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)

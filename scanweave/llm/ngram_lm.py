@@ -133,14 +133,16 @@ def _score(model):
         order = np.argsort(keys, kind="stable")
         keys, owner = keys[order], owner[order]
         del order
-        times = (keys & _U((1 << _TIMES) - 1)).astype(np.int64)
+        times = (keys & _U((1 << _TIMES) - 1)).astype(np.int32)
         doc = ((keys >> _U(_TIMES)) & _U((1 << _DOC) - 1)).astype(np.int64)
         pair = keys >> _U(_DOC + _TIMES)
         heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         runs = np.diff(np.concatenate([heads, [len(pair)]]))
-        total = np.add.reduceat(times, heads)
+        del keys
+        total = np.add.reduceat(times, heads, dtype=np.int64)
         gained = np.repeat(model.value.log_scores(pair[heads], total), runs) * times
         place = owner.astype(np.int64) << _DOC | doc
+        del pair, times, doc, owner, runs, total
         order = np.argsort(place, kind="stable")
         place, gained = place[order], gained[order]
         heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -181,7 +183,7 @@ def lm_scores(documents: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     if vocabulary + 2 > 1 << _WORD:
         raise ValueError("words must be numbered in 18 bits")
     spark = documents.sparkSession
-    n = parts(spark)
+    n = 2 * parts(spark)
     words, counts, total = frequent_words(documents, vocabulary)
     texts = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()
     model = spark.sparkContext.broadcast(Model(words, counts, total, texts))

@@ -16,7 +16,7 @@ class ByteCoder:
 
     def __init__(self, raw: bytes):
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.memo = {}
+        self.memo, self.before = {}, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         back = {s: b for b, s in _byte_signs().items()}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -26,18 +26,37 @@ class ByteCoder:
             if i >= len(self.bytes):
                 self.bytes += [b""] * (i + 1 - len(self.bytes))
             self.bytes[i] = token.content.encode()
+        self.sizes = np.array([len(b) for b in self.bytes])
 
     def _pieces(self, pieces):
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, np.uint32).tobytes()
+            self.before, self.memo = self.memo, {}
+        memo, before = self.memo, self.before
+        new = []
+        for p in pieces:
+            if p not in memo:
+                if p in before:
+                    memo[p] = before[p]
+                else:
+                    new.append(p)
+        new = list(dict.fromkeys(new))
+        joined = [p for p in new if p[0] == " " and "<|" not in p]
+        for at in range(0, len(joined), 4096):
+            self._joined(joined[at : at + 4096])
+        for p in new:
+            if p not in memo:
+                memo[p] = self.whole(p).tobytes()
         return [memo[p] for p in pieces]
 
+    def _joined(self, pieces):
+        """Pieces that begin with a blank are one text; the ids are cut where their bytes end."""
+        ids = np.array(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, np.uint32)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in pieces])) + 1
+        at = 0
+        for p, end in zip(pieces, ends.tolist()):
+            self.memo[p] = ids[at:end].tobytes()
+            at = end
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -10,7 +10,7 @@ is DataFrame work; whole texts move once, next to the few places to look at.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.shared import bounded, row_key, settle, spare
+from scanweave.llm.shared import bounded, settle
 
 WIDTH = 10
 ANCHORS = 2
@@ -85,6 +85,19 @@ def _nearest(documents: DataFrame, benchmark: DataFrame, width: int):
     return items, anchored, index
 
 
+def _judged(documents: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """Every row whole (column whole), with n_words and hits: array of (item_id, at)."""
+    items, anchored, index = _nearest(documents, benchmark, width)
+    at = places(index, anchored, items).join(items.select("item", "item_id", "terms"), "item")
+    looks = at.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "terms")).alias("looks")).withColumnRenamed("doc_id", "look_id")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"))
+    met = rows.join(looks, F.col("whole.doc_id").eqNullSafe(F.col("look_id")), "left").select("whole", words(F.col("whole.text")).alias("words"), "looks")
+    judged = met.select("whole", F.size(F.coalesce("words", F.array())).cast("long").alias("n_words"), F.transform(
+        F.coalesce("looks", F.array().cast("array<struct<item_id:string,shift:int,terms:array<string>>>")),
+        lambda x: F.struct(x["item_id"].alias("item_id"), _hits(x, width).alias("at"))).alias("hits"))
+    return judged.withColumn("hits", F.filter("hits", lambda x: F.size(x["at"]) > 0))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row.
 
@@ -92,17 +105,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     words, or the whole item if it is shorter.  NULL and wordless texts have no words and no
     hits; items without words have no window.  Rows with equal doc_id, NULL too, are judged
     each by its own text.  Other columns are not read."""
-    items, anchored, index = _nearest(documents, benchmark, width)
-    at = places(index, anchored, items).join(items.select("item", "item_id", "terms"), "item")
-    looks = at.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "terms")).alias("looks")).withColumnRenamed("doc_id", "look_id")
-    texts = documents.select("doc_id", "text")
-    met = texts.join(looks, F.col("doc_id").eqNullSafe(F.col("look_id")), "left").select("doc_id", words(F.col("text")).alias("words"), "looks")
-    judged = met.select("doc_id", F.greatest(F.size(F.coalesce("words", F.array())), F.lit(0)).cast("long").alias("n_words"), F.transform(
-        F.coalesce("looks", F.array().cast("array<struct<item_id:string,shift:int,terms:array<string>>>")),
-        lambda x: F.struct(x["item_id"].alias("item_id"), _hits(x, width).alias("at"))).alias("hits"))
-    real = judged.withColumn("hits", F.filter("hits", lambda x: F.size(x["at"]) > 0))
-    named = real.select("doc_id", "n_words", F.size(F.array_distinct(F.flatten("hits.at"))).cast("long").alias("n_hit"),
-                        F.array_sort(F.array_distinct("hits.item_id")).alias("ids"))
+    named = _judged(documents.select("doc_id", "text"), benchmark, width).select(
+        "whole.doc_id", "n_words", F.size(F.array_distinct(F.flatten("hits.at"))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("hits.item_id")).alias("ids"))
     return named.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -125,10 +129,7 @@ def near_matches(documents: DataFrame, benchmark: DataFrame, slop: int, width: i
     return rows.where(F.size(F.array_except(window, near)) == 0).select("doc_id", "x.item_id", "start", "x.pos").distinct()
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a benchmark window.  Rows are told apart by
-    doc_id and text, so that rows with equal ids are judged each by its own text."""
-    row = spare(documents, "_row")
-    keyed = documents.withColumn(row, row_key())
-    bad = contamination(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(row)).distinct()
-    return keyed.join(bad, row, "left_anti").drop(row)
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents without those that hold a benchmark window, with all their columns; each
+    row is judged by its own text."""
+    return _judged(documents, benchmark, width).where(F.size("hits") == 0).select("whole.*")

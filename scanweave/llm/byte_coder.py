@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from scanweave.llm.bpe import _byte_signs
 
-MEMO = 300_000
+MEMO = 400_000
 
 
 class ByteCoder:

@@ -103,7 +103,7 @@ def _segments(raw, end):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], _NAMES)
 
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, limit=12 << 20):
             for doc_id, found in zip(rows.column("doc_id").to_pylist(), coder.encode(texts)):
                 docs.append(doc_id)
                 ids.append(np.append(found, np.uint32(end)))

@@ -452,7 +452,9 @@ def report_rows(spark, d):
 
 @query
 def artefact_links(spark, d):
-    linked = sinks.with_artefact_links(_profiles(spark, d)).select(
+    # ids beyond 32 bits, so that a cut would show
+    far = _profiles(spark, d).withColumn("doc_id", F.col("doc_id").cast("long") + F.lit(1 << 32))
+    linked = sinks.with_artefact_links(far).select(
         "doc_id", "image_url", sinks.profile_report_name(F.col("full_name")).alias("report_name"), F.explode("debug_crops").alias("field", "url"))
     return linked
 

@@ -695,8 +695,8 @@ with {PROFILES}, r as (select id, unnest([{{'p': 0, 'label': 'Full Name', 'v': n
   {{'p': 6, 'label': 'Full Address', 'v': coalesce(nullif(address_text, ''), array_to_string(ls, ', '))}}]) as r from profiles)
 select id as doc_id, r.p as position, r.label, case when r.p < 6 and r.v = '' then 'N/A' else r.v end as value from r where r.p < 6 or r.v <> ''"""
 ORACLES["artefact_links"] = f"""
-with {PROFILES}, f as (select id, name, lpad(lower(to_hex(id)), 8, '0') as h, unnest({strings(K.ENGINE_FIELDS)}) as field from profiles)
-select id as doc_id, '/media/documents/aligned_' || h || '.jpg' as image_url, 'Profile_' || replace(name, ' ', '_') || '.pdf' as report_name,
+with {PROFILES}, f as (select id, name, lower(to_hex(id + 4294967296)) as h, unnest({strings(K.ENGINE_FIELDS)}) as field from profiles)
+select id + 4294967296 as doc_id, '/media/documents/aligned_' || h || '.jpg' as image_url, 'Profile_' || replace(name, ' ', '_') || '.pdf' as report_name,
   field, '/media/documents/crop_' || field || '_' || h || '.jpg' as url from f"""
 ORACLES["profile_read_back"] = f"""
 with {PROFILES} select id as doc_id, case when id % 5 < 3 then name end as full_name, case when id % 5 < 3 then state end as state,

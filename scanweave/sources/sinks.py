@@ -11,7 +11,7 @@ MEDIA = "/media/documents/"
 
 def with_artefact_links(profiles: DataFrame, fields=tuple(K.ENGINE_FIELDS), key="doc_id", root=MEDIA) -> DataFrame:
     """Where the page and crop images of a document are kept, under a stable name."""
-    ident = F.lpad(F.lower(F.hex(key)), 8, "0")
+    ident = F.format_string("%08x", F.col(key).cast("long"))  # eight digits at least, never cut
     crops = F.create_map(*[
         v for f in fields
         for v in (F.lit(f), F.concat(F.lit(f"{root}crop_{f}_"), ident, F.lit(".jpg")))
@@ -30,7 +30,8 @@ def scan_response(profiles: DataFrame, selected, key="doc_id") -> DataFrame:
 
 
 def write_profiles(profiles: DataFrame, path, run_date, fmt="parquet") -> None:
-    profiles.withColumn("run_date", F.lit(run_date)).write.mode("overwrite").partitionBy("run_date").format(fmt).save(path)
+    """Replaces the run of that date and leaves the others."""
+    profiles.withColumn("run_date", F.lit(run_date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").format(fmt).save(path)
 
 
 def _shown(value: Column) -> Column:

@@ -4,8 +4,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table.  A file of one row group is one task however many cores there are, so
-    an input with fewer splits than cores is dealt out first; a large input is left alone."""
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Parquet table; how it is split is left to the session's settings."""
+    return spark.read.parquet(path)

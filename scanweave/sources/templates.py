@@ -14,11 +14,17 @@ def default_templates(spark: SparkSession, template_id="default") -> DataFrame:
 
 
 def load_templates(spark: SparkSession, path) -> DataFrame:
-    """One template per JSON file; the file name is its id.  Files that do not parse yield
-    nothing, and fields a template lacks come from the defaults."""
-    files = spark.read.option("wholetext", "true").text(path).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1).alias("template_id"),
-        F.from_json("value", _MAP).alias("m"))
+    """One template per JSON file, the file name being its id, or per line of what
+    ``save_templates`` wrote.  Files that do not parse yield nothing, and fields a template
+    lacks come from the defaults."""
+    texts = spark.read.option("wholetext", "true").text(path).select(
+        F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1).alias("file"), "value")
+    lines = texts.select("file", "value", F.explode(F.split("value", "\n")).alias("line")).select(
+        "file", "value", F.from_json("line", f"template_id string, rois {_MAP}").alias("saved"))
+    saved = lines.where("saved.template_id is not null and saved.rois is not null")
+    bare = texts.join(saved.select("file").distinct(), "file", "left_anti")
+    files = saved.select("saved.template_id", F.col("saved.rois").alias("m")).unionByName(
+        bare.select(F.col("file").alias("template_id"), F.from_json("value", _MAP).alias("m")))
     stored = files.select("template_id", F.explode("m").alias("field", "b")).where("size(b) = 4").select(
         "template_id", "field", *[F.col("b")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
     defaults = F.map_from_entries(F.array(*[

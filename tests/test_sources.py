@@ -90,6 +90,8 @@ def test_templates(spark, tmp_path):
     templates.save_templates(merged, str(tmp_path / "saved"))
     saved = spark.read.json(str(tmp_path / "saved"), schema="template_id string, rois map<string,array<double>>")
     assert {r["template_id"]: len(r["rois"]) for r in saved.collect()} == {"bank": 8, "bad": 7}
+    again = templates.load_templates(spark, str(tmp_path / "saved"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, merged.select(again.columns).collect()))
 
 
 def test_profile_files_and_reports(spark, sf_dir, tmp_path):
@@ -97,6 +99,9 @@ def test_profile_files_and_reports(spark, sf_dir, tmp_path):
     sinks.write_profiles(profiles, str(tmp_path / "p"), "2026-01-01")
     back = spark.read.parquet(str(tmp_path / "p"))
     assert back.count() == profiles.count() and [str(r[0]) for r in back.select("run_date").distinct().collect()] == ["2026-01-01"]
+    sinks.write_profiles(profiles, str(tmp_path / "p"), "2026-01-02")
+    both = spark.read.parquet(str(tmp_path / "p"))
+    assert both.count() == 2 * profiles.count() and both.select("run_date").distinct().count() == 2
     sinks.write_report(sinks.profile_report(profiles), str(tmp_path / "r"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "r")).columns == ["doc_id", "position", "label", "value"]
     body = json.loads(sinks.scan_response(profiles, ["full_name"]).first()["response"])

@@ -132,4 +132,6 @@ def near_matches(documents: DataFrame, benchmark: DataFrame, slop: int, width: i
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without those that hold a benchmark window, with all their columns; each
     row is judged by its own text."""
-    return _judged(documents, benchmark, width).where(F.size("hits") == 0).select("whole.*")
+    # exploded, not filtered: a filter would be pushed below the words and split each text once per item word
+    clean = F.when(F.size("hits") == 0, F.array("whole"))
+    return _judged(documents, benchmark, width).select(F.explode(clean).alias("whole")).select("whole.*")

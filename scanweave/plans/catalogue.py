@@ -180,7 +180,7 @@ def name_vote(spark, d):
 def _address_reads(spark, d):
     k = F.col("o_orderkey")
     streets = recipes.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("street"))
-    orders = recipes.table(spark, d, "orders").select("o_orderkey", (k % recipes.part_count(spark, d) + 1).alias("p_partkey"))
+    orders = recipes.table(spark, d, "orders").select("o_orderkey", (k % recipes.part_count(spark, d)).alias("p_partkey"))
     windows = F.explode(F.sequence(F.lit(0), F.lit(19)))
     r = F.col("r")
     damaged = recipes.replace_letter(F.col("street"), (k + r * 3) % F.length("street"), "X")

@@ -207,7 +207,7 @@ from parsed"""
 
 ACCOUNTS = """
     accounts as (select cast(100000000 + c_custkey as varchar) as account_number, upper(p_name) as account_holder_name
-        from customer join part on p_partkey = c_custkey * 7 % (select count(*) from part) + 1)"""
+        from customer join part on p_partkey = c_custkey * 7 % (select count(*) from part))"""
 ORACLES["account_search"] = f"""
 with {ACCOUNTS}
 select * from accounts where lower(account_holder_name) like '%widget%'
@@ -492,7 +492,7 @@ with src as (select doc_id as id, text as raw, cast(100000 + doc_id % 900000 as
 select id as doc_id, array_to_string(ls, '|') as lines_out, {', '.join(f'{p} as a_{p}' for p in _PARTS)} from parsed"""
 
 ADDRESS_READS = f"""
-    addr0 as (select o_orderkey as k, p_name as street, unnest(range(20)) as r from orders join part on p_partkey = o_orderkey % (select count(*) from part) + 1),
+    addr0 as (select o_orderkey as k, p_name as street, unnest(range(20)) as r from orders join part on p_partkey = o_orderkey % (select count(*) from part)),
     address_reads as (select k as doc_id, r % 5 as line_idx, case when (k + r % 5) % 4 = 0 then ''
         when (k + r) % 3 = 0 then {replace_letter('street', '(k + r * 3) % len(street)', 'X')} else street end as raw_text from addr0)"""
 ORACLES["address_repair"] = f"""
@@ -608,8 +608,8 @@ CASES = f"""
     {ACCOUNTS},
     names as (select p_partkey, upper(p_name) as name from part),
     parties as (select o_orderkey as k, o_custkey, h.name as holder, p.name as payee, o.name as other from orders
-        join names h on h.p_partkey = o_custkey * 7 % (select count(*) from part) + 1 join names p on p.p_partkey = o_orderkey * 11 % (select count(*) from part) + 1
-        join names o on o.p_partkey = o_orderkey * 13 % (select count(*) from part) + 1),
+        join names h on h.p_partkey = o_custkey * 7 % (select count(*) from part) join names p on p.p_partkey = o_orderkey * 11 % (select count(*) from part)
+        join names o on o.p_partkey = o_orderkey * 13 % (select count(*) from part)),
     cases as (select k as case_id, 'PAY ' || case when k % 4 = 0 then {replace_letter('payee', 'k % len(payee)', 'Q')} else payee end || ' AC '
           || case when k % 7 = 0 then 900000000 + k else 100000000 + o_custkey end || ' '
           || case when k % 5 = 0 then {replace_letter('holder', 'k % len(holder)', 'Q')} else holder end as cheque_text,

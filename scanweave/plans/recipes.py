@@ -286,7 +286,7 @@ def bank_accounts(spark, d) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("account_holder_name"))
     customers = table(spark, d, "customer").select(
         (F.lit(100000000) + F.col("c_custkey")).cast("string").alias("account_number"),
-        (F.col("c_custkey") * 7 % part_count(spark, d) + 1).alias("p_partkey"))
+        (F.col("c_custkey") * 7 % part_count(spark, d)).alias("p_partkey"))
     return customers.join(parts, "p_partkey").select("account_number", "account_holder_name")
 
 
@@ -297,7 +297,7 @@ def case_texts(spark, d) -> DataFrame:
     k, n = F.col("o_orderkey"), part_count(spark, d)
     cases = table(spark, d, "orders").select(
         "o_orderkey", "o_custkey",
-        (F.col("o_custkey") * 7 % n + 1).alias("holder_key"), (k * 11 % n + 1).alias("payee_key"), (k * 13 % n + 1).alias("other_key"))
+        (F.col("o_custkey") * 7 % n).alias("holder_key"), (k * 11 % n).alias("payee_key"), (k * 13 % n).alias("other_key"))
     for role in ("holder", "payee", "other"):
         cases = cases.join(names.select(F.col("p_partkey").alias(f"{role}_key"), F.col("name").alias(role)), f"{role}_key")
     account = F.when(k % 7 == 0, F.lit(900000000) + k).otherwise(F.lit(100000000) + F.col("o_custkey")).cast("string")

@@ -67,9 +67,9 @@ def shifted_rois(width: Column, height: Column, scale: Column, offset: Column,
     def checked(rs):
         tall = ~F.exists(rs, lambda r: r["roi"]["y2"] - r["roi"]["y1"] < 12)
         tops = F.transform(
-            F.array_sort(F.transform(rs, lambda r: F.struct(
+            F.array_sort(F.filter(F.transform(rs, lambda r: F.struct(
                 F.array_position(F.array(*[F.lit(f) for f in K.FIELD_ORDER]), r["field"]).alias("o"),
-                r["roi"]["y1"].alias("y")))),
+                r["roi"]["y1"].alias("y"))), lambda r: r["o"] > 0)),
             lambda r: r["y"],
         )
         return F.when(tall & (tops == F.array_sort(tops)), rs)

@@ -101,3 +101,12 @@ def test_a_leaked_label_takes_a_narrower_region(spark):
 def test_a_good_read_stays(spark):
     best, offered = refined(spark, lambda w: ("NARASEMHAPPA", "NARASEMHAPPA", 0.95))
     assert offered == [] and tuple(best["roi"]) == (80, 80, 160, 120)
+
+
+def test_a_field_outside_the_order_does_not_undo_the_layout(spark):
+    from scanweave.functions import geometry as g
+
+    known = spark.range(1).select(g.template_rois().alias("t"))
+    low = F.col("t")[0].withField("field", F.lit("signature")).withField("y1", F.lit(0.97)).withField("y2", F.lit(0.99))
+    moved = g.shifted_rois(F.lit(1600), F.lit(2200), F.lit(1.0), F.lit(0.0), F.concat("t", F.array(low)))
+    assert known.select(F.size(moved).alias("n")).first().n == len(g.K.DEFAULT_ROIS) + 1

@@ -50,3 +50,18 @@ def test_bounded_vocabulary(spark):
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check(L.lm_scores(df), brute([(r.doc_id, r.text) for r in df.collect()]))
+
+
+def test_rare_words_count_as_themselves(spark):
+    """More distinct words than have numbers: none of them is merged with another."""
+    n = L.NUMBERED + 20_000
+    texts = [" ".join(f"w{i}" for i in range(a, min(a + 2000, n))) for a in range(0, n, 2000)]
+    rows = list(enumerate(texts + ["w1 w2 w1 w2 w7", "w150000 zz w150000 zz", "the the the w9", "w1 w2 w150000"]))
+    check(L.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), brute(rows))
+
+
+def test_hashed_beside_numbered(spark, monkeypatch):
+    """Bigrams of words with and without a number, seen once and more often."""
+    monkeypatch.setattr(L, "NUMBERED", 3)
+    rows = [(0, "a a a a b b b c d a d a c d"), (1, "a b c a b c d e"), (None, "e a"), (1, "x e a x"), (2, ""), (3, "f")]
+    check(L.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")), brute(rows))

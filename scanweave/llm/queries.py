@@ -91,6 +91,12 @@ from docs d left join covered using (doc_id) left join named using (doc_id)
 
 @query
 def op5_url_filters(spark, sf_dir):
+    """With the one strength of all levels that its SQL has."""
+    return reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), shared_strength=True)
+
+
+@query
+def op5_url_filters_by_level(spark, sf_dir):
     return reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 

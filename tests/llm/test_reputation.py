@@ -40,3 +40,26 @@ def test_shrinkage(spark):
     assert len(got) == len(pages)
     assert verdict["a.bad.com"] == "block" and verdict["x.fine.com"] == verdict["z.org"] == "allow"
     assert rate["a.bad.com"] > rate["b.bad.com"] > rate["c.bad.com"] > rate["y.fine.com"] > rate["x.fine.com"]
+
+
+def test_all_bad_host_under_one_suffix(spark):
+    """The spread between hosts is measured: one with bad pages only is blocked among many good
+    ones, under one suffix and under three alike ones; single bad pages block nobody."""
+    for suffixes in (("com",), ("com", "net", "org")):
+        outcomes = [(f"h{h}.d{h % 8}.{s}", int(k < h % 7)) for s in suffixes for h in range(80) for k in range(20)]
+        outcomes += [("bad.d1.com", 1)] * 60 + [("once.d1.com", 1), ("new.d1.com", None)]
+        got = {r.host: r for r in R.reputation(spark.createDataFrame(outcomes, "host string, bad int")).collect()}
+        assert [h for h, r in got.items() if r.bound > R.LIMIT] == ["bad.d1.com"]
+        assert got["bad.d1.com"].bad_rate > 0.8 and got["once.d1.com"].bad_rate < 0.5
+
+
+def test_strengths(spark):
+    """Against the formula by hand: two parents of two groups; alike groups; single outcomes."""
+    def strength(*rows):
+        return R._strength(spark.createDataFrame(rows, "p string, n long, bad long"), "p", "s").first().s
+
+    between = 10 * 0.4**2 * 2 + 20 * 0.1**2 * 2
+    within = (10 * 0.9 * 0.1 * 2 + 20 * (0.4 * 0.6 + 0.6 * 0.4)) / 56
+    assert abs(strength(("a", 10, 1), ("a", 10, 9), ("b", 20, 8), ("b", 20, 12), ("b", 0, 0)) - max(1, within / ((between - 2 * within) / 30))) < 1e-9
+    assert strength(("a", 50, 5), ("a", 50, 5)) == 100
+    assert strength(("a", 1, 1), ("a", 1, 0)) == strength(("a", 9, 1), ("b", 9, 2)) == strength(("a", 0, 0)) == 2

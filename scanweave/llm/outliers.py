@@ -35,6 +35,17 @@ _BINS = 64
 _BLANKS = " \t\n\v\f\r"
 
 
+def _triples(codes, words):
+    """A number of 64 bits for each three codes in a row, equal for equal ones only."""
+    wide = codes.astype(np.uint64)
+    if len(wide) < 3:
+        return wide[:0]
+    if words <= 1 << 21:
+        return (wide[:-2] << np.uint64(42)) | (wide[1:-1] << np.uint64(21)) | wide[2:]
+    _, pair = np.unique((wide[:-1] << np.uint64(32)) | wide[1:], return_inverse=True)
+    return (pair[:-1].astype(np.uint64) << np.uint64(32)) | wide[2:]
+
+
 def _statistics(keys):
     def run(batches):
         for rows, texts in slices(batches):
@@ -42,8 +53,7 @@ def _statistics(keys):
             length = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64) if len(names) else np.empty(0, np.int64)
             total = np.concatenate([[0], np.cumsum(length[codes])]) if len(codes) else np.zeros(1, np.int64)
             repeated = []
-            wide = codes.astype(np.uint64)
-            keyed = (wide[:-2] << np.uint64(42)) | (wide[1:-1] << np.uint64(21)) | wide[2:] if len(codes) > 2 else np.empty(0, np.uint64)
+            keyed = _triples(codes, len(names))
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 if b - a < 4:
                     repeated.append(0)

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from scanweave.llm import outliers as O
 
@@ -64,3 +65,12 @@ def test_estimate_against_brute_force(spark):
     assert np.allclose(np.array(shape.inv).reshape(4, 4), inverse, rtol=0.1, atol=1)
     d = np.einsum("ij,jk,ik->i", v - centre, inverse, v - centre)
     assert (d[900:] > O.LIMIT).all() and (d[:900] < O.LIMIT).all()
+
+
+def test_more_words_than_21_bits():
+    """Windows of a text with over 2**21 distinct words are told apart."""
+    n = (1 << 21) + 8
+    text = " ".join(map(str, range(n))) + f" 5 0 {n - 1} 5 1 7 3 4 5 6"
+    out = list(O._statistics(("doc_id",))([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])]))[0]
+    assert out.column("n_words")[0].as_py() == n + 10
+    assert out.column("n_repeat_words")[0].as_py() == 8  # 3 4 5 6, here and there

@@ -184,19 +184,26 @@ def quality_rules(documents: DataFrame, keys=("doc_id",), limit: float = LIMIT)
     base_failed, d2 and kept, one row per input row.
 
     NULL and wordless texts fail the base rules.  A NULL lang or source is a group of its own.
-    Groups with fewer than LEAST_ROWS rows that pass the base rules are judged together; if
-    they are too few even so, they are kept and d2 is NULL.  Rows are judged one by one
+    Rows of a group with fewer than LEAST_ROWS rows that pass the base rules are judged by the
+    shape of all such rows of their language, or of the table if these are too few as well.
+    Only in a table with fewer than LEAST_ROWS are they kept and d2 is NULL.  Rows are judged one by one
     whatever their keys; other columns are not read."""
-    named = documents.select(*keys, "text", F.concat_ws("|", F.coalesce(F.col("lang"), F.lit("\\N")), F.coalesce(F.col("source"), F.lit("\\N"))).alias("_group"))
-    stats = statistics(named, (*keys, "_group"))
+    lang = F.coalesce(F.col("lang"), F.lit("\\N"))
+    named = documents.select(*keys, "text", lang.alias("_lang"), F.concat_ws("|", lang, F.coalesce(F.col("source"), F.lit("\\N"))).alias("_group"))
+    stats = statistics(named, (*keys, "_lang", "_group"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = settle(_featured(stats.withColumn("base_failed", failed)))
-    passed = rows.where("not base_failed")
-    large = passed.groupBy("_group").count().where(F.col("count") >= LEAST_ROWS).select("_group", F.lit(True).alias("large"))
-    grouped = settle(rows.join(large, "_group", "left").withColumn("g", F.when(F.col("large"), F.concat(F.lit("="), "_group")).otherwise("*")).drop("large", "_group"))
-    fit = grouped.where("not base_failed").select("g", *FEATURES)
-    enough = fit.groupBy("g").count().where(F.col("count") >= LEAST_ROWS).select("g")
-    shape = shapes(fit.join(enough, "g", "left_semi"))
+    counts = settle(rows.where("not base_failed").groupBy("_lang", "_group").count())
+    of_lang = counts.groupBy("_lang").agg(F.sum("count").alias("lang_count"))
+    of_all = counts.agg(F.sum("count").alias("all_count"))
+    level = F.when(F.col("count") >= LEAST_ROWS, F.concat(F.lit("="), "_group")).when(F.col("lang_count") >= LEAST_ROWS, F.concat(F.lit("~"), "_lang")).when(F.col("all_count") >= LEAST_ROWS, F.lit("*"))
+    levels = settle(counts.join(of_lang, "_lang").join(F.broadcast(of_all), F.lit(True)).select("_lang", "_group", level.alias("g")))  # of_all is one row
+    grouped = settle(rows.join(levels, ["_lang", "_group"], "left").drop("_group"))
+    fine = grouped.where("not base_failed and startswith(g, '=')").select("g", *FEATURES)
+    wider = levels.where("g = '*' or startswith(g, '~')").select("g", F.when(F.col("g") != "*", F.col("_lang")).alias("_lang")).distinct()
+    by_lang = grouped.where("not base_failed").select("_lang", *FEATURES).join(wider.where("_lang is not null"), "_lang").select("g", *FEATURES)
+    by_all = grouped.where("not base_failed").select(*FEATURES).join(F.broadcast(wider.where("_lang is null").select("g")), F.lit(True)).select("g", *FEATURES)
+    shape = shapes(fine.unionByName(by_lang).unionByName(by_all))
     judged = grouped.join(shape, "g", "left").withColumn("d2", F.when(~F.col("base_failed"), _squared()))
     return judged.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("d2", 6).alias("d2"),
                          (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= limit)).alias("kept"))

@@ -74,3 +74,15 @@ def test_more_words_than_21_bits():
     out = list(O._statistics(("doc_id",))([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])]))[0]
     assert out.column("n_words")[0].as_py() == n + 10
     assert out.column("n_repeat_words")[0].as_py() == 8  # 3 4 5 6, here and there
+
+
+def test_small_groups(spark):
+    """Rows of small groups are judged by their language or by the whole table."""
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join("w" + "abcdefghij"[: k] + str(i) for i, k in enumerate(rng.integers(1, 8, 80)))
+    junk = " ".join(f"#${i}&<|>*%" * 3 for i in range(80))
+    rows = [(i, prose(), "en", "big") for i in range(120)] + [(200, prose(), "en", "small"), (201, junk, "en", "small")]
+    rows += [(300, prose(), "xx", "small"), (301, junk, "xx", None), (302, "short", "yy", None)]
+    got = {r.doc_id: r for r in O.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all((r.d2 is None) == (i == 302) for i, r in got.items())
+    assert [i for i in sorted(got) if not got[i].kept] == [201, 301, 302]

@@ -3,7 +3,10 @@
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import bpe, chat, decontaminate, neighbours, ngram_join, ngram_lm, outliers, reputation, token_files, toxicity
+from scanweave.llm import (
+    bpe, chat, decontaminate, main_text, neighbours, ngram_join, ngram_lm, outliers, product_codes, reputation, token_files, toxicity,
+    variants,
+)
 from scanweave.llm.shared import table
 from scanweave.llm.vocabularies import BYTE_BPE, WORD_BPE, vocabulary_file
 from scanweave.shipping import ship
@@ -166,6 +169,84 @@ def op10_chat_formatting(spark, sf_dir):
     return chat.formatted_and_read(rows.unionByName(own), vocabulary_file(BYTE_BPE))
 
 
+@query
+def op11_html_extraction(spark, sf_dir):
+    return main_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling_variants"] = r"""
+with recursive crc as (
+    select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+runs as (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run
+    from documents),
+counted as (select doc_id, run, count(*) as n from runs group by doc_id, run),
+hashed as (
+    select run, n, xor(4294967295, list_reduce(
+               list_prepend(4294967295::bigint, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+                   lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [(192 | (unicode(c) >> 6))::bigint, (128 | (unicode(c) & 63))::bigint] end))),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+    from counted, crc),
+words as (
+    select case when h % 97 = 0 then run[:h % len(run)] || run[h % len(run) + 2:] else run end as word, sum(n)::bigint as n
+    from hashed group by word having len(word) >= 5 and sum(n) >= 3),
+holes as (select word, unnest(range(1, len(word) + 1)) as i, word[:i - 1] || word[i + 1:] as rest from words),
+near as (
+    select a.word, b.word as other from holes a join holes b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union select word, rest from holes where rest in (select word from words)
+    union select rest, word from holes where rest in (select word from words)),
+best as (
+    select near.word, count(*) as n_near, min({'less': -n, 'word': other}) as b from near join words on words.word = other group by near.word),
+forms as (
+    select w.word, case when -b.less >= 2 * n then b.word end as form, n, coalesce(n_near, 0) as n_near, case when -b.less >= 2 * n then -b.less end as form_n
+    from words w left join best on best.word = w.word),
+chains as (
+    select word, word as at from forms
+    union all select c.word, f.form from chains c join forms f on f.word = c.at where f.form is not null)
+select f.word, f.form, c.at as root, f.n, f.n_near, f.form_n
+from forms f join chains c on c.word = f.word join forms e on e.word = c.at where e.form is null
+"""
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return product_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _round(k):
+    """Parts with the nearest entry of codebook k, and the codebook after that."""
+    return f"""
+near{k} as materialized (
+    select p.id, p.part, min({{'d': list_sum(list_transform(list_zip(x, c.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': c.e}}) as best, any_value(x) as x
+    from parts p join book{k} c on c.part = p.part group by p.id, p.part),
+sums{k} as (
+    select part, e, i, sum(v) as s, count(*) as n
+    from (select part, best.e as e, generate_subscripts(x, 1) as i, unnest(x) as v from near{k}) group by part, e, i),
+means{k} as (select part, e, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as entry from sums{k} group by part, e),
+book{k + 1} as materialized (select c.part, c.e, coalesce(m.entry, c.entry) as entry from book{k} c left join means{k} m on m.part = c.part and m.e = c.e),"""
+
+
+ORACLES["op13_vector_codes"] = f"""
+with kept as materialized (
+    select row_number() over (order by vec_id nulls last, embedding) as id, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select id, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] as x from kept, (select unnest(range(8)) as part)),
+book0 as materialized (select part, id - 1 as e, x as entry from parts where id <= 16),{"".join(_round(k) for k in range(6))}
+final as (
+    select p.id, p.part, min({{'d': list_sum(list_transform(list_zip(x, c.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': c.e}}) as best
+    from parts p join book6 c on c.part = p.part group by p.id, p.part),
+coded as (select id, string_agg(format('{{:02x}}', best.e), '' order by part) as code, sum(best.d)::bigint as error from final group by id),
+books as (select sha256(string_agg(array_to_string(entry, ','), ',' order by part, e)) as sha from book6)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, sha as codebooks_sha256
+from kept join coded using (id), books
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

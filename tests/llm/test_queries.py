@@ -5,7 +5,7 @@ import pytest
 
 from scanweave.llm.queries import ORACLES, QUERIES
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(v):

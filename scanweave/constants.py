@@ -164,6 +164,15 @@ ANCHORS = {
     },
 }
 CORE_ANCHORS = ["gender", "dob", "address", "state_pin"]
+PHRASE_RATIO_WEIGHT = 0.6
+PHRASE_CLOSE_WEIGHT = 0.4
+PHRASE_CLOSE_RATIO = 0.78
+PHRASE_SURPLUS_COST = 0.08
+PHRASE_SURPLUS_FLOOR = 0.55
+ANCHOR_TEXT_SHARE = 0.84
+ANCHOR_PLACE_SHARE = 0.16
+FIT_SCALES = [0.94, 1.06]
+FIT_WORST = 0.018
 
 # --- fixed values: refinement --------------------------------------------------
 REFINE_MIN_CONFIDENCE = {
@@ -197,4 +206,5 @@ REVIEW_CONFIDENCE = 0.90
 PAN_MIN_SCORE = 80
 CHEQUE_MIN_SCORE = 75
 PAYEE_MIN_SCORE = 75
+ACCOUNT_NUMBER_LENGTH = 20
 KNOWN_NAME_MIN_RATIO = 0.72

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from scanweave import constants as K
 from scanweave.functions.fuzzy import seq_ratio
-from scanweave.functions.text import address_line, clean_generic, round4, tokens
-from scanweave.operators.consensus import chunk_rows, item_read, local_winner, spread_winner, text_buckets
+from scanweave.functions.text import address_line, clean_generic, round4, tokens, vote_sum
+from scanweave.operators.consensus import similarity_winners, text_buckets
 
 PREPARED_BONUS = 0.03
 
@@ -26,20 +26,19 @@ def line_candidates(reads: DataFrame) -> DataFrame:
 def line_winners(reads: DataFrame, key="doc_id") -> DataFrame:
     """Best text per document and line window."""
     group = [key, "line_idx"]
-    chunked = chunk_rows(text_buckets(line_candidates(reads), group), reads, group)
+    buckets = text_buckets(line_candidates(reads), group)
+    read = F.struct(F.col("best.raw").alias("raw_text"), "clean_text", F.col("best.conf").alias("confidence"))
+    whole = buckets.groupBy(*group).agg(F.count(F.lit(1)).alias("n_texts"), F.min(read).alias("r"))
 
-    def rank(vote, i):
-        short = F.size(F.filter(tokens(i["clean_text"]), lambda w: F.length(w) <= 1))
+    def rank(vote):
+        short = F.size(F.filter(tokens(F.col("clean_text")), lambda w: F.length(w) <= 1))
         return F.struct(
-            vote.alias("vote"), i["best"]["conf"].alias("conf"), (-short).alias("short"),
-            F.length(F.replace(i["clean_text"], F.lit(" "), F.lit(""))).alias("n"),
-            i["best"]["neg"].alias("neg"),
-        )
+            vote.alias("vote"), F.col("best.conf").alias("conf"), (-short).alias("short"),
+            F.length(F.replace("clean_text", F.lit(" "), F.lit(""))).alias("n"), F.col("best.neg").alias("neg"))
 
-    single = chunked.where("n_chunks = 1")
-    alone = single.where(F.size("items") == 1).select(*group, item_read(F.get("items", F.lit(0))).alias("r"))
-    voted = single.where(F.size("items") > 1).select(*group, local_winner(F.col("items"), rank).alias("r"))
-    return alone.unionByName(voted).unionByName(spread_winner(chunked.where("n_chunks > 1"), group, rank)).select(*group, "r.*")
+    alone = whole.where("n_texts = 1").select(*group, "r")
+    voted = similarity_winners(buckets, whole.where("n_texts > 1"), group, rank)
+    return alone.unionByName(voted).select(*group, "r.*")
 
 
 def roll_up_lines(winners: DataFrame, key="doc_id") -> DataFrame:
@@ -47,7 +46,7 @@ def roll_up_lines(winners: DataFrame, key="doc_id") -> DataFrame:
     item = F.struct("line_idx", "raw_text", "clean_text")
     return winners.groupBy(key).agg(
         F.array_sort(F.collect_list(item)).alias("lines"),
-        round4(F.avg("confidence")).alias("confidence"),
+        round4(vote_sum(F.col("confidence")) / F.count("confidence")).alias("confidence"),
     ).select(
         key,
         F.trim(F.array_join("lines.raw_text", " ")).alias("raw_text"),

@@ -35,19 +35,40 @@ def _complete() -> Column:
     return present[0] & present[1] & present[2]
 
 
-def unique_accounts(accounts: DataFrame) -> DataFrame:
-    """One holder per number.  The number is unique by contract; the aggregation shares the
-    shuffle of the join that follows and keeps a broken table from multiplying cases."""
-    return accounts.groupBy("account_number").agg(F.min("account_holder_name").alias("account_holder_name"))
+def register_accounts(accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(register, quarantine) of an account table as it was delivered.
+
+    The register holds each number once, with the smallest holder where a number came with
+    several.  Quarantined are rows without a number or with one too long for the register, and
+    what a repeated number has beyond its registered row; ``copies`` says how often a row came.
+    Numbers that repeat are counted on the map side, so one number may have any number of rows.
+    """
+    others = [c for c in accounts.columns if c not in ("account_number", "account_holder_name")]
+    number, row = F.col("account_number"), ["account_holder_name", *others]
+    fault = F.when(F.coalesce(F.trim(number), F.lit("")) == "", "Missing account number.").when(
+        F.length(number) > K.ACCOUNT_NUMBER_LENGTH, "Account number too long.")
+    counted = accounts.groupBy("account_number", *row).agg(F.count(F.lit(1)).alias("copies")).withColumn("reason", fault)
+    sound = counted.where("reason is null")
+    first = sound.groupBy("account_number").agg(F.min(F.struct(*row)).alias("kept"), F.sum("copies").alias("rows"))
+    register = first.select("account_number", "kept.*")
+    repeated = first.where("rows > 1").select("account_number", "kept")
+    spare = F.col("copies") - F.struct(*row).eqNullSafe(F.col("kept")).cast("long")
+    extra = sound.join(repeated, "account_number").withColumn("copies", spare).where("copies > 0").withColumn(
+        "reason", F.lit("Account number already registered."))
+    columns = ("account_number", *row, "copies", "reason")
+    return register, counted.where("reason is not null").select(*columns).unionByName(extra.select(*columns))
 
 
 def look_up_accounts(cases: DataFrame, accounts: DataFrame, key="case_id") -> DataFrame:
-    """Adds account_number and the holder on file.  Cases without a number get a key of
-    their own that matches nothing, so they do not pile up in one partition."""
+    """Adds account_number and the holder on file.  ``accounts`` hold each number once, which
+    ``register_accounts`` sees to when a table is loaded; so the join is a plain one, whose
+    skewed side adaptive execution can split when one account has a large share of the cases.
+    Cases without a number get a key of their own that matches nothing, so they do not pile
+    up in one partition."""
     with_number = cases.withColumn("account_number", account_number(F.col("cheque_text"))).withColumn(
         "_key", F.when(F.col("account_number") != "", F.col("account_number"))
         .otherwise(F.concat(F.lit("none-"), F.col(key).cast("string"))))
-    on_file = unique_accounts(accounts).withColumnRenamed("account_number", "_key")
+    on_file = accounts.select(F.col("account_number").alias("_key"), "account_holder_name")
     return with_number.join(on_file, "_key", "left").drop("_key")
 
 
@@ -80,6 +101,12 @@ def verify_cheques(cases: DataFrame, accounts: DataFrame, key="case_id") -> Data
     return verdict.withColumn("final_decision", F.when(passed, "Approved").otherwise("Rejected"))
 
 
+def verdicts_or_errors(cases: DataFrame, accounts: DataFrame, key="case_id") -> DataFrame:
+    """A row for every case: the verdict, or the error of a case that lacks a document."""
+    judged = verify_cheques(cases, accounts, key).withColumn("error", F.lit(None).cast("string"))
+    return judged.unionByName(incomplete_cases(cases).select(key, "error"), allowMissingColumns=True)
+
+
 def search_accounts(accounts: DataFrame, term) -> DataFrame:
     """Accounts whose number or holder contains the term, case ignored."""
     needle = F.lower(term if isinstance(term, Column) else F.lit(term))

@@ -3,16 +3,27 @@
 Reads are first reduced to one row per distinct cleaned text.  That step spreads a hot
 (doc, field) group over its texts and combines on the map side; the winner is a second,
 small aggregation.  No step collects the reads of a group.
+
+Similarity votes compare every text of a group with every other.  The texts of a group are
+dealt into tiles; the task of a tile holds its texts and streams all texts of the group past
+them, so it ends with whole votes, and a group of any size is spread over its tiles.
 """
 
+import functools
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanweave import constants as K
-from scanweave.functions.fuzzy import similarity_votes
+from scanweave.functions.fuzzy import gestalt_ratio
 from scanweave.functions.text import round4, vote_sum
 
-CHUNK = 64
+#: texts of a tile, about
+CHUNK = 2048
+#: binary places of a vote; sums of whole numbers do not depend on their order
+PLACES = 80
 
 
 def text_buckets(reads: DataFrame, keys) -> DataFrame:
@@ -36,90 +47,94 @@ def consensus(reads: DataFrame, keys=("doc_id",), field="field") -> DataFrame:
     cleans to anything, the most confident raw read stands, with no clean text.
     """
     group = [*keys, field]
-    is_name = F.col(field).isin(K.NAME_FIELDS)
     stated = F.col("clean_text") != ""
+    # A blank text wins only where there is no other; its best read is the one that stands then.
     winner = F.struct(
-        F.col("support"), F.col("conf_sum"), F.length("clean_text").alias("n"),
-        (-F.col("first_ordinal")).alias("neg"), F.col("clean_text").alias("clean"), F.col("last_raw").alias("raw"),
-    )
-    chunked = chunk_rows(
-        text_buckets(reads, group), reads.where(is_name), group, votes_for=is_name & stated,
-        extra=(F.max(F.when(stated, winner)).alias("w"), F.max("best").alias("b")),
+        stated.alias("stated"), F.col("support"), F.col("conf_sum"), F.length("clean_text").alias("n"),
+        (-F.col("first_ordinal")).alias("neg"), F.col("clean_text").alias("clean"), F.col("last_raw").alias("raw"), "best",
     )
+    buckets = text_buckets(reads, group)
+    # Both branches below use all of these sums, and no filter on a key that could be pushed
+    # into one of them: so they share the shuffles, and the reads are scanned once.
+    whole = buckets.groupBy(*group).agg(
+        F.max(winner).alias("w"), F.count_if(stated).alias("n_texts"), F.max(F.col(field).isin(K.NAME_FIELDS)).alias("is_name"))
+    differ = F.coalesce(F.col("is_name"), F.lit(False)) & F.col("w.stated") & (F.col("w.support") == 1)
     settled = F.struct(
-        F.when(F.col("w.raw") != "", F.col("w.raw")).otherwise(F.coalesce("w.clean", "b.raw")).alias("raw_text"),
-        F.coalesce("w.clean", F.lit("")).alias("clean_text"),
-        F.when(F.col("w").isNotNull(), round4(F.col("w.conf_sum") / F.col("w.support"))).otherwise(F.col("b.conf")).alias("confidence"),
-    )
-    differ = is_name & F.coalesce(F.col("w.support") == 1, F.lit(False))
-
-    def rank(vote, i):
-        return F.struct(
-            vote.alias("vote"), i["best"]["conf"].alias("conf"),
-            (-F.length(i["clean_text"])).alias("n"), (-i["first_ordinal"]).alias("neg"),
-        )
-
-    # Only groups that need votes take the Python step.  The branches part after the same
-    # aggregation, so they share its shuffle.
-    single = chunked.where("n_chunks = 1")
-    votes_needed = differ & (F.size("items") > 1)
-    alone = F.get("items", F.lit(0))
-    decided = single.where(~votes_needed).select(*group, F.when(differ, item_read(alone)).otherwise(settled).alias("r"))
-    voted = single.where(votes_needed).select(*group, local_winner(F.col("items"), rank).alias("r"))
-    # Names with more texts than one chunk holds: what is true of the whole group decides.
-    many = chunked.where("n_chunks > 1")
-    whole = many.groupBy(*group).agg(F.max("w").alias("w"), F.max("b").alias("b"))
-    spread = spread_winner(many.drop("w", "b").join(whole.where(differ).select(*group), group), group, rank)
-    rest = whole.where(~differ).select(*group, settled.alias("r"))
-    return decided.unionByName(voted).unionByName(rest).unionByName(spread).select(*group, "r.*")
-
-
-def chunk_rows(buckets: DataFrame, reads: DataFrame, group, votes_for=None, extra=()) -> DataFrame:
-    """Texts of a group as arrays of about CHUNK items at most.
-
-    A group has no more texts than reads, so counting reads by key, the cheapest of scans,
-    finds every group that could exceed one chunk; all others are one chunk by themselves.
-    """
-    crowded = reads.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
-    sizes = crowded.select(*group, F.ceil(F.col("n") / CHUNK).cast("int").alias("n_chunks"))
-    item = F.struct("clean_text", "conf_sum", "first_ordinal", "best")
-    return (
-        buckets.join(sizes, group, "left")
-        .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
-        .withColumn("chunk", F.pmod(F.xxhash64("clean_text"), F.col("n_chunks")).cast("int"))
-        .groupBy(*group, "n_chunks", "chunk")
-        .agg(F.collect_list(item if votes_for is None else F.when(votes_for, item)).alias("items"), *extra)
-    )
-
-
-def _ranked(rank, vote, item):
-    return F.struct(rank(vote, item).alias("k"), item.alias("item"))
-
-
-def item_read(item):
-    return F.struct(
-        item["best"]["raw"].alias("raw_text"), item["clean_text"].alias("clean_text"),
-        item["best"]["conf"].alias("confidence"),
+        F.when(~F.col("w.stated"), F.col("w.best.raw")).when(F.col("w.raw") != "", F.col("w.raw")).otherwise(F.col("w.clean")).alias("raw_text"),
+        F.col("w.clean").alias("clean_text"),
+        F.when(F.col("w.stated"), round4(F.col("w.conf_sum") / F.col("w.support"))).otherwise(F.col("w.best.conf")).alias("confidence"),
     )
-
-
-def local_winner(items: Column, rank) -> Column:
-    """Item with the highest similarity vote of a group that is one array."""
-    votes = similarity_votes(items["clean_text"], items["clean_text"], items["conf_sum"])
-    ranked = F.zip_with(items, votes, lambda i, v: _ranked(rank, F.round(v, 9), i))
-    return item_read(F.array_max(ranked)["item"])
-
-
-def spread_winner(many: DataFrame, group, rank) -> DataFrame:
-    """The same for groups of several chunks: a task compares one chunk with one chunk and
-    returns one partial vote per text, so a group of any size is spread out and no pair of
-    texts is ever written."""
-    other = many.select(*group, F.col("chunk").alias("other_chunk"), F.col("items").alias("others"))
-    crossed = many.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).join(other, [*group, "other_chunk"])
-    parts = crossed.withColumn("votes", similarity_votes(
-        F.col("items.clean_text"), F.col("others.clean_text"), F.col("others.conf_sum")))
-    by_item = parts.select(*group, F.explode(F.arrays_zip("items", "votes")).alias("z")).groupBy(
-        *group, F.col("z.items").alias("item")).agg(F.sum("z.votes").alias("vote"))
-    return by_item.groupBy(*group).agg(
-        F.max(_ranked(rank, F.round("vote", 9), F.col("item"))).alias("w")
-    ).select(*group, item_read(F.col("w.item")).alias("r"))
+    alone = F.struct(F.col("w.best.raw").alias("raw_text"), F.col("w.clean").alias("clean_text"), F.col("w.best.conf").alias("confidence"))
+    votes_needed = differ & (F.col("n_texts") > 1)
+    decided = whole.where(~votes_needed).select(*group, F.when(differ, alone).otherwise(settled).alias("r"))
+
+    def rank(vote):
+        return F.struct(vote.alias("vote"), F.col("best.conf").alias("conf"), (-F.length("clean_text")).alias("n"), (-F.col("first_ordinal")).alias("neg"))
+
+    voted = similarity_winners(buckets, whole.where(votes_needed), group, rank)
+    return decided.unionByName(voted).select(*group, "r.*")
+
+
+def similarity_winners(buckets: DataFrame, groups: DataFrame, group, rank) -> DataFrame:
+    """Winner ``r`` (raw_text, clean_text, confidence) of every group in ``groups``, which also
+    hold ``n_texts``.  The vote of a text is the sum over all texts of the group of their
+    ratio times the other's confidence sum; ``rank`` makes the order from it.  Blank texts
+    neither vote nor win."""
+    tiles = F.ceil(F.col("n_texts") / CHUNK).cast("int")
+    # NULL keys are groups too; and a join that asks for keys to be there would filter the
+    # buckets, which then could not come from the same shuffle as the groups.
+    sizes = groups.select(*[F.col(k).alias(f"_{k}") for k in group], "n_texts")
+    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in group])
+    sized = buckets.join(sizes, same).drop(*[f"_{k}" for k in group])
+    dealt = sized.withColumn("home", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    at_home = F.pmod(F.xxhash64("clean_text"), tiles) == F.col("home")
+    placed = dealt.withColumn("resident", at_home).repartition(*group, "home").sortWithinPartitions(
+        *group, "home", F.desc("resident"), "clean_text")
+    columns = [c for c in placed.columns if c not in ("n_texts", "home", "resident")]
+    ordered = placed.select(*group, "home", "resident", *[c for c in columns if c not in group])
+    schema = ordered.drop("home", "resident").withColumn("vote", F.lit(0.0)).schema
+    voted = ordered.mapInArrow(_whole_votes(len(group)), schema)
+    read = F.struct(F.col("best.raw").alias("raw_text"), "clean_text", F.col("best.conf").alias("confidence"))
+    return voted.groupBy(*group).agg(F.max_by(read, rank(F.round("vote", 9))).alias("r"))
+
+
+def _scaled(x: float) -> int:
+    return int(math.ldexp(x, PLACES))
+
+
+def _whole_votes(n_keys):
+    """Texts of a task come by group and tile, those of the tile first.  Holds these and adds
+    what every text that passes by votes for them."""
+
+    def run(batches):
+        place, held, votes = None, [], []  # held: (batch, row, text, weight) of the tile's own texts
+
+        def batches_of(done):
+            """Rows with their votes, taken from each batch at once."""
+            for source in {id(b): b for b, _, _ in done}.values():
+                mine = [(i, v) for b, i, v in done if b is source]
+                taken = source.take(pa.array([i for i, _ in mine], pa.int64()))
+                yield taken.append_column(pa.field("vote", pa.float64()), pa.array([v / (1 << PLACES) for _, v in mine], pa.float64()))
+
+        for batch in batches:
+            keys = [batch.column(i).to_pylist() for i in range(n_keys + 1)]
+            resident = batch.column("resident").to_pylist()
+            texts, weights = batch.column("clean_text").to_pylist(), batch.column("conf_sum").to_pylist()
+            kept = batch.select([c for c in batch.schema.names if c not in ("home", "resident")])
+            done = []
+            for i, here in enumerate(zip(*keys)):
+                if here != place:
+                    done += [(b, r, v) for (b, r, _, _), v in zip(held, votes)]
+                    place, held, votes = here, [], []
+                text, weight = texts[i], weights[i]
+                if text == "":
+                    continue
+                if resident[i]:  # the earlier texts of the tile vote for it, then it votes like the rest
+                    votes.append(sum(_scaled(gestalt_ratio(text, t) * w) for _, _, t, w in held))
+                    held.append((kept, i, text, weight))
+                for j, (_, _, t, _) in enumerate(held):
+                    votes[j] += _scaled(gestalt_ratio(t, text) * weight)
+            yield from batches_of(done)
+        yield from batches_of([(b, r, v) for (b, r, _, _), v in zip(held, votes)])
+
+    return run

@@ -9,10 +9,10 @@ from scanweave import constants as K
 from scanweave.functions import dates, fields, fuzzy, gender, geometry, pin, text
 from scanweave.functions.address import PARTS, parse_address
 from scanweave.operators import (
-    address, calibration, cheque, consensus, dob, layout, profile, reads, refine,
+    address, calibration, cheque, consensus, dob, layout, profile, reads, refine, templates,
 )
 from scanweave.operators import gender as gender_op
-from scanweave.plans import recipes
+from scanweave.plans import jobs, recipes
 from scanweave.shipping import ship
 from scanweave.sources import intake, sinks
 
@@ -298,7 +298,7 @@ def anchor_match(spark, d):
 
 @query
 def document_anchors(spark, d):
-    lines = recipes.ocr_lines(spark, d).withColumn("height", F.lit(K.PAGE_HEIGHT))
+    lines = recipes.labelled_lines(spark, d).withColumn("height", F.lit(K.PAGE_HEIGHT))
     return layout.match_anchors(layout.layout_rows(lines)).select("doc_id", "anchor", "cy", F.round("score", 6).alias("score"))
 
 
@@ -333,6 +333,13 @@ def roi_assign(spark, d):
     return layout.assign_fields(recipes.ocr_lines(spark, d)).select("doc_id", "line_no", "field", "text")
 
 
+@query
+def roi_assign_by_template(spark, d):
+    found = templates.assign_by_template(
+        recipes.labelled_lines(spark, d), recipes.templated_pages(spark, d), recipes.form_templates(spark, d))
+    return flat(found, "doc_id", "line_no", "field", "moved", "text", roi=("roi", EDGES))
+
+
 @query
 def crop_windows(spark, d):
     pages = recipes.table(spark, d, "orders").select(
@@ -381,6 +388,17 @@ def account_lookup(spark, d):
     return found.select("case_id", "account_number", "account_holder_name", F.col("account_holder_name").isNotNull().alias("account_valid"))
 
 
+@query
+def account_register(spark, d):
+    register, quarantine = cheque.register_accounts(recipes.delivered_accounts(spark, d))
+    return register.select("*", F.lit(None).cast("long").alias("copies"), F.lit(None).cast("string").alias("reason")).unionByName(quarantine)
+
+
+@query
+def cheque_from_lines(spark, d):
+    return jobs.verify_documents(recipes.case_lines(spark, d), recipes.bank_accounts(spark, d))
+
+
 @query
 def case_assembly(spark, d):
     turns = recipes.table(spark, d, "conversations").select(
@@ -481,7 +499,4 @@ def calibration_boxes(spark, d):
 
 @query
 def roi_merge(spark, d):
-    users = recipes.table(spark, d, "events").select(
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("template_id")).distinct()
-    stored = users.select("template_id", F.explode(geometry.template_rois()).alias("t")).select("template_id", "t.*")
-    return calibration.merge_templates(stored, calibration.calibrated_regions(recipes.drag_events(spark, d)))
+    return recipes.user_templates(spark, d)

@@ -10,7 +10,7 @@ from scanweave.functions.fuzzy import fuzzy_choice
 from scanweave.functions.text import clean_generic, clean_name, clean_state_text
 from scanweave.functions.dates import clean_dob
 from scanweave.operators.address import address_vote
-from scanweave.operators.cheque import cases_from_lines, verify_cheques
+from scanweave.operators.cheque import cases_from_lines, verdicts_or_errors
 from scanweave.operators.consensus import consensus
 from scanweave.operators.dob import resolve_dob
 from scanweave.operators.gender import gender_field
@@ -66,5 +66,6 @@ def extract_profiles(output_fields=None, **reads) -> DataFrame:
 
 
 def verify_documents(lines: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Recognised lines of the three documents of each case, to verdicts."""
-    return verify_cheques(cases_from_lines(lines), accounts)
+    """Recognised lines of the documents of each case, to a verdict or an error per case.
+    ``accounts`` is the register that ``sources.intake.load_accounts`` wrote."""
+    return verdicts_or_errors(cases_from_lines(lines), accounts)

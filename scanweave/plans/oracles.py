@@ -163,6 +163,42 @@ LINES = """
     lines as (select *, x1 + 60 + len(text) % 500 as x2, y1 + 18 + (doc_id + line_no) % 7 as y2 from geo)"""
 
 
+def gestalt_steps(pairs) -> str:
+    """CTEs from ``pairs`` (a, b) to ``g`` (a, b, ratio): the longest common block of two texts,
+    the first of equals, then the same for what lies before and behind it.  Needs "recursive".
+    Texts from 200 symbols on would also need the rule about popular symbols; none are so long."""
+    return f"""
+    g_pairs as (select distinct a, b from {pairs} where a <> b),
+    g_parts as (
+        select a, b, a as x, b as y, 0::bigint as matched from g_pairs
+        union all
+        select a, b, unnest([x[:i - 1], x[i + k:]]), unnest([y[:j - 1], y[j + k:]]), unnest([k, 0])
+        from (select *, strpos(y, x[i:i + k - 1]) as j from (
+            select *, list_max(sizes) as k, list_position(sizes, list_max(sizes)) as i from (
+                select a, b, x, y, list_transform(range(1, len(x) + 1), lambda p: len(list_filter(
+                    range(1, len(x) - p + 2), lambda n: contains(y, x[p:p + n - 1])))) as sizes
+                from g_parts where x <> '' and y <> '')))
+        where k > 0),
+    g as (select a, b, 2.0::double * sum(matched) / (len(a) + len(b)) as ratio from g_parts group by a, b
+        union all select distinct a, b, 1.0::double from {pairs} where a = b)"""
+
+
+def row_steps(items) -> str:
+    """CTEs from ``items`` (doc_id, text, norm, x1, y1, x2, y2, cy, line_no) to ``rows``, numbered
+    down the page.  The step reads one item of every page at a time."""
+    return f"""
+    s as (select *, row_number() over (partition by doc_id order by cy, x1, line_no) as n from {items} where norm <> ''),
+    folded as (select doc_id, n, y1, y2, 1 as r from s where n = 1
+      union all
+      select s.doc_id, s.n, case when near then least(o.y1, s.y1) else s.y1 end, case when near then greatest(o.y2, s.y2) else s.y2 end,
+        case when near then o.r else o.r + 1 end
+      from folded o join s on s.doc_id = o.doc_id and s.n = o.n + 1,
+      lateral (select abs(s.cy - (o.y1 + o.y2) / 2.0) <= 17 as near)),
+    rows as (select doc_id, r, string_agg(text, ' ' order by x1, n) as text, string_agg(norm, ' ' order by x1, n) as norm,
+      min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, (min(y1) + max(y2)) / 2.0::double as cy
+      from (select s.*, o.r from s join folded o on o.doc_id = s.doc_id and o.n = s.n) group by doc_id, r)"""
+
+
 # --- intake ------------------------------------------------------------------------------
 ORACLES["intake_validation"] = f"""
 with p as (select page_id, len(html) * (page_id % 1201) as length, {pick(recipes.MIMES, 'page_id % 6')} as mime from pages)
@@ -311,6 +347,22 @@ ORACLES["consensus_vote"] = f"with {CONSENSUS} select * from consensus"
 ORACLES["review_flags"] = f"""
 with {CONSENSUS} select doc_id, field, round_even(confidence * 100, 2) as score_percentage, confidence < 0.9 as needs_review from consensus"""
 
+_name = "case when l_linenumber % 3 = 0 then " + replace_letter("name", "l_orderkey % len(name)", "X") + " else name end"
+ORACLES["name_vote"] = f"""
+with recursive named as (select lineitem.*, upper(p_name) as name from lineitem join part on p_partkey = l_partkey),
+reads as (select l_orderkey as doc_id, {pick(K.NAME_FIELDS, 'l_linenumber % 2')} as field, {ordinal()} as ordinal, {_name} as t, l_quantity / 64 as c from named),
+buckets as (select doc_id, field, t, count(*) as support, round(sum(c), 9) as total, max(c) as best, min(ordinal) as first_seen from reads group by all),
+stated as (select *, max(support) over (partition by doc_id, field) as most, row_number() over (partition by doc_id, field
+    order by support desc, total desc, len(t) desc, first_seen) as k from buckets),
+pairs as (select x.doc_id, x.field, x.t as a, y.t as b, y.total as w from stated x join stated y on x.doc_id = y.doc_id and x.field = y.field
+    where x.most = 1),
+{gestalt_steps('pairs')},
+votes as (select doc_id, field, a as t, round(sum(ratio * w), 9) as vote from pairs join g using (a, b) group by all),
+ranked as (select *, row_number() over (partition by doc_id, field order by vote desc, best desc, len(t), first_seen) as place
+    from stated join votes using (doc_id, field, t))
+select doc_id, field, t as raw_text, t as clean_text, {even4('total / support')} as confidence from stated where most > 1 and k = 1
+union all select doc_id, field, t, t, best from ranked where place = 1"""
+
 ORACLES["address_fallback"] = f"""
 with {LINES}, l0 as (select *, line_no % 2 as ordinal, trim(text) as t from lines),
 {address_line_steps('l0', 'doc_id, line_no, ordinal', 't')},
@@ -493,7 +545,8 @@ select id as doc_id, array_to_string(ls, '|') as lines_out, {', '.join(f'{p} as
 
 ADDRESS_READS = f"""
     addr0 as (select o_orderkey as k, p_name as street, unnest(range(20)) as r from orders join part on p_partkey = o_orderkey % (select count(*) from part)),
-    address_reads as (select k as doc_id, r % 5 as line_idx, case when (k + r % 5) % 4 = 0 then ''
+    address_reads as (select k as doc_id, r % 5 as line_idx, r as ordinal, (k * 7 + r * 5) % 64 / 64.0::double
+        + case when (r // 5) % 2 = 0 then 0.0::double else 0.03::double end as confidence, case when (k + r % 5) % 4 = 0 then ''
         when (k + r) % 3 = 0 then {replace_letter('street', '(k + r * 3) % len(street)', 'X')} else street end as raw_text from addr0)"""
 ORACLES["address_repair"] = f"""
 -- The relation line was damaged in one letter of at least seven, so the known name always comes back.
@@ -501,47 +554,126 @@ with {ADDRESS_READS}, n as (select doc_id, max(raw_text) as street from address_
 select doc_id, case when street = '' then 'S/OX' else 'S/O ' || upper(street) end as address_line_1,
   case when street = '' then 'S/OX' else 'S/O ' || upper(street) end || ' HIGH STREET' as full_address from n"""
 
+ORACLES["address_vote"] = f"""
+with recursive {ADDRESS_READS}, {address_line_steps('address_reads', 'doc_id, ordinal', 'raw_text')},
+stated as (select r.doc_id, r.line_idx, r.ordinal, r.confidence, trim(r.raw_text) as raw_text, al.line as t
+    from address_reads r join al using (doc_id, ordinal) where al.line <> ''),
+buckets as (select doc_id, line_idx, t, round(sum(confidence), 9) as total, max((confidence, -ordinal, raw_text)) as best from stated group by all),
+pairs as (select x.doc_id, x.line_idx, x.t as a, y.t as b, y.total as w from buckets x join buckets y on x.doc_id = y.doc_id and x.line_idx = y.line_idx),
+{gestalt_steps('pairs')},
+votes as (select doc_id, line_idx, a as t, round(sum(ratio * w), 9) as vote from pairs join g using (a, b) group by all),
+ranked as (select *, row_number() over (partition by doc_id, line_idx order by vote desc, best[1] desc,
+    len(list_filter(string_split(t, ' '), lambda w: len(w) = 1)), len(replace(t, ' ', '')) desc, best[2] desc) as place from buckets join votes using (doc_id, line_idx, t))
+select doc_id, trim(string_agg(best[3], ' ' order by line_idx)) as raw_text, string_agg(t, ' ' order by line_idx) as clean_text,
+  {even4('round(sum(best[1]), 9) / count(*)')} as confidence, string_agg(t, '|' order by line_idx) as address_lines from ranked where place = 1 group by doc_id"""
+
 # --- layout -------------------------------------------------------------------------------------------
 ORACLES["layout_rows"] = f"""
 with recursive {LINES},
 items as (select doc_id, trim(text) as text, {squeeze(rx(tr(upper('text'), K.ANCHOR_LETTERS), r'[^\p{L}\p{N}]+', ' '))} as norm,
     x1, y1, x2, y2, (y1 + y2) / 2.0::double as cy, line_no from lines where boxed),
-s as (select *, row_number() over (partition by doc_id order by cy, x1, line_no) as n from items where norm <> ''),
-f as (select doc_id, n, y1, y2, 1 as r from s where n = 1
-  union all
-  select s.doc_id, s.n, case when near then least(f.y1, s.y1) else s.y1 end, case when near then greatest(f.y2, s.y2) else s.y2 end,
-    case when near then f.r else f.r + 1 end
-  from f join s on s.doc_id = f.doc_id and s.n = f.n + 1,
-  lateral (select abs(s.cy - (f.y1 + f.y2) / 2.0) <= 17 as near))
-select doc_id, string_agg(text, ' ' order by x1, n) as text, string_agg(norm, ' ' order by x1, n) as normalized_text,
-  cast(min(x1) as int) as x1, cast(min(y1) as int) as y1, cast(max(x2) as int) as x2, cast(max(y2) as int) as y2, (min(y1) + max(y2)) / 2.0::double as cy,
-  cast(len(string_split(string_agg(norm, ' ' order by x1, n), ' ')) as int) as token_count
-from (select s.*, f.r from s join f on f.doc_id = s.doc_id and f.n = s.n) group by doc_id, r"""
+{row_steps('items')}
+select doc_id, text, norm as normalized_text, cast(x1 as int) as x1, cast(y1 as int) as y1, cast(x2 as int) as x2, cast(y2 as int) as y2, cy,
+  cast(len(string_split(norm, ' ')) as int) as token_count from rows"""
+
+_label_rows = ", ".join(f"({i}, {quote(t)}, {y}::double)" for i, (t, y) in enumerate(recipes.LABEL_LINES.items()))
+_phrases = ", ".join(
+    f"({quote(n)}, {quote(p)}, {a['expected_y']}::double, {a['threshold']}::double, {a['tolerance']}::double, {a['max_x_pct']}::double, {a['max_tokens']})"
+    for n, a in K.ANCHORS.items() for p in a["phrases"])
+_norm = squeeze(rx(tr(upper("text"), K.ANCHOR_LETTERS), r"[^\p{L}\p{N}]+", " "))
+FORM_ITEMS = f"""
+    labels(i, label, y) as (values {_label_rows}),
+    form0 as (select o_orderkey as doc_id, i as line_no, 70 + (o_orderkey * 3 + i * 11) % 40 as x1,
+        cast(floor(y * {K.PAGE_HEIGHT} * (0.97::double + (o_orderkey % 7) * 0.01::double) + (o_orderkey % 13) * 3) as int) as c,
+        case when (o_orderkey + i) % 9 = 0 then 'SMUDGE' when o_orderkey % 5 = 0 then translate(label, 'OE', '0F') else label end as text
+        from orders cross join labels),
+    items as (select doc_id, line_no, text, {_norm} as norm, x1, c - 16 as y1, x1 + 270 as x2, c + 16 as y2, c::double as cy from form0)"""
+DOCUMENT_ITEMS = f"""
+    {LINES},
+    labels(i, label, y) as (values {_label_rows}),
+    printed as (select doc_id, 1000000 + i as line_no, 70 + (doc_id * 3 + i * 11) % 40 as x1,
+        cast(floor(y * {K.PAGE_HEIGHT} * (0.97::double + (doc_id % 7) * 0.01::double) + (doc_id % 13) * 3) as int) as c,
+        case when (doc_id + i) % 9 = 0 then 'SMUDGE' when doc_id % 5 = 0 then translate(label, 'OE', '0F') else label end as text
+        from documents cross join labels),
+    placed as (select doc_id, line_no, trim(text) as text, x1, y1, x2, y2 from lines where boxed
+        union all select doc_id, line_no, text, x1, c - 16, x1 + 270, c + 16 from printed),
+    items as (select *, {_norm} as norm, (y1 + y2) / 2.0::double as cy from placed)"""
+
+
+def anchor_steps() -> str:
+    """CTEs from ``items`` to ``anchors`` (doc_id, anchor, cy, score)."""
+    return f"""
+    {row_steps('items')},
+    phrases(anchor, phrase, ey, threshold, tolerance, max_x, max_tokens) as (values {_phrases}),
+    fitting as (select rows.*, p.*, string_split(norm, ' ') as w, string_split(phrase, ' ') as want, 1.0 - abs(cy / {K.PAGE_HEIGHT} - ey) / tolerance as nearness
+        from rows join phrases p on x1 <= {K.PAGE_WIDTH} * max_x and len(string_split(norm, ' ')) <= max_tokens and abs(cy / {K.PAGE_HEIGHT} - ey) <= tolerance),
+    texts as (select distinct norm, phrase, w, want, least(len(w), len(want)) as n from fitting),
+    word_pairs as (select norm, phrase, p, want[p] as a, b from (select *, unnest(w) as b from (select *, unnest(range(1, len(want) + 1)) as p from texts))),
+    run_pairs as (select norm, phrase, phrase as a, array_to_string(w[i:i + n - 1], ' ') as b from (select *, unnest(range(1, len(w) - n + 2)) as i from texts)),
+    pairs as (select a, b from word_pairs union select a, b from run_pairs),
+    {gestalt_steps('pairs')},
+    nearest as (select norm, phrase, p, max(ratio) as near from word_pairs join g using (a, b) group by all),
+    by_words as (select norm, phrase, {K.PHRASE_RATIO_WEIGHT} * avg(near) + {K.PHRASE_CLOSE_WEIGHT} * avg(case when near >= {K.PHRASE_CLOSE_RATIO} then 1.0::double else 0 end) as v
+        from nearest group by all),
+    by_run as (select norm, phrase, max(ratio) as v from run_pairs join g using (a, b) group by all),
+    scored as (select fitting.*, greatest(x.v, y.v) * greatest({K.PHRASE_SURPLUS_FLOOR}::double, 1.0 - greatest(0, len(w) - len(want)) * {K.PHRASE_SURPLUS_COST}::double) as text_score
+        from fitting join by_words x using (norm, phrase) join by_run y using (norm, phrase)),
+    placed_anchors as (select *, round(text_score * {K.ANCHOR_TEXT_SHARE} + nearness * {K.ANCHOR_PLACE_SHARE}, 9) as score from scored where text_score >= threshold),
+    anchors as (select doc_id, anchor, cy, score from (
+        select *, row_number() over (partition by doc_id, anchor order by score desc, r) as place from placed_anchors) where place = 1)"""
+
+
+ORACLES["anchor_match"] = f"""
+with recursive {FORM_ITEMS}, {anchor_steps()} select doc_id, anchor, cy, round(score, 6) as score from anchors"""
+ORACLES["document_anchors"] = f"""
+with recursive {DOCUMENT_ITEMS}, {anchor_steps()} select doc_id, anchor, cy, round(score, 6) as score from anchors"""
 
 _anchor_values = ", ".join(f"({i}, {quote(n)}, {a['expected_y']}::double)" for i, (n, a) in enumerate(K.ANCHORS.items()))
+FIT = f"""
+    f as (select doc_id, regr_slope(cy, ex) as scale, regr_intercept(cy, ex) as o, count(*) as n,
+        count(*) filter (where anchor in ('gender', 'dob', 'address', 'state_pin')) as core,
+        count(*) filter (where anchor in ('address', 'state_pin')) as low from p group by doc_id),
+    w as (select f.doc_id, any_value(scale) as scale, any_value(o) as o, max(abs(ex * scale + o - cy)) as worst from f join p using (doc_id)
+        where n >= 3 and core >= 2 and low >= 1 and scale between 0.94 and 1.06 group by f.doc_id),
+    fits as (select doc_id, scale, o from w where worst <= {K.PAGE_HEIGHT} * 0.018)"""
 ORACLES["vertical_fit"] = f"""
 with specs(i, anchor, ey) as (values {_anchor_values}),
 p as (select l_orderkey as doc_id, anchor, ey * {K.PAGE_HEIGHT} as ex,
     max(floor((ey * {K.PAGE_HEIGHT} * (0.95 + (l_orderkey % 11) * 0.01) + l_orderkey % 17
       + case when l_orderkey % 10 = 0 then l_quantity * 2 else l_quantity / 16 end) * 16) / 16) as cy
   from lineitem join specs on i = (l_linenumber + l_suppkey) % 6 group by all),
-f as (select doc_id, regr_slope(cy, ex) as scale, regr_intercept(cy, ex) as o, count(*) as n,
-    count(*) filter (where anchor in ('gender', 'dob', 'address', 'state_pin')) as core,
-    count(*) filter (where anchor in ('address', 'state_pin')) as low from p group by doc_id),
-w as (select f.doc_id, any_value(scale) as scale, any_value(o) as o, max(abs(ex * scale + o - cy)) as worst from f join p using (doc_id)
-  where n >= 3 and core >= 2 and low >= 1 and scale between 0.94 and 1.06 group by f.doc_id)
-select doc_id, round(scale, 6) as scale, round(o, 4) as offset from w where worst <= {K.PAGE_HEIGHT} * 0.018"""
+{FIT}
+select doc_id, round(scale, 6) as scale, round(o, 4) as offset from fits"""
 
 _templates = ", ".join(f"({quote(f)}, {K.FIELD_ORDER.index(f)}, " + ", ".join(f"{v}::double" for v in b) + ")" for f, b in K.DEFAULT_ROIS.items())
+
+
+def shift_steps(fits, width="1600", height="2200") -> str:
+    """CTEs from ``fits`` (doc_id, scale, o, and width and height if named) and a template per
+    page ``t`` (doc_id, field, place, a, b, c, d) to ``shifted``, for pages whose moved regions
+    keep order and size."""
+    return f"""
+    m as (select t.doc_id, field, place, trunc({width} * a) as x1, trunc({width} * c) as x2,
+        greatest(0, least({height} - 2, round_even({height} * b * scale + o, 0))) as y1, round_even({height} * d * scale + o, 0) as low, {height} as h
+        from {fits} join t using (doc_id)),
+    ns as (select *, greatest(y1 + 1, least(h, low)) as y2, case when place is not null then lag(y1) over (partition by doc_id, place is null order by place) end as above from m),
+    keeps as (select doc_id from ns group by doc_id having min(y2 - y1) >= 12 and count(case when above > y1 then 1 end) = 0),
+    shifted as (select doc_id, field, cast(x1 as int) as roi_x1, cast(y1 as int) as roi_y1, cast(x2 as int) as roi_x2, cast(y2 as int) as roi_y2
+        from ns semi join keeps using (doc_id))"""
+
+
 ORACLES["region_shift"] = f"""
-with t(field, place, a, b, c, d) as (values {_templates}),
-m as (select o_orderkey as doc_id, field, place, trunc(1600 * a) as x1, trunc(1600 * c) as x2,
-    greatest(0, least(2198, round_even(2200 * b * ((o_orderkey % 33 + 240) / 256.0::double) + ((o_orderkey % 41) * 4.0 - 80.0), 0))) as y1,
-    round_even(2200 * d * ((o_orderkey % 33 + 240) / 256.0::double) + ((o_orderkey % 41) * 4.0 - 80.0), 0) as low from orders cross join t),
-n as (select *, greatest(y1 + 1, least(2200, low)) as y2, lag(y1) over (partition by doc_id order by place) as above from m),
-ok as (select doc_id from n group by doc_id having min(y2 - y1) >= 12 and count(case when above > y1 then 1 end) = 0)
-select doc_id, field, cast(x1 as int) as roi_x1, cast(y1 as int) as roi_y1, cast(x2 as int) as roi_x2, cast(y2 as int) as roi_y2
-from n semi join ok using (doc_id)"""
+with defaults(field, place, a, b, c, d) as (values {_templates}),
+fits as (select o_orderkey as doc_id, (o_orderkey % 33 + 240) / 256.0::double as scale, (o_orderkey % 41) * 4.0::double - 80.0 as o from orders),
+t as (select doc_id, defaults.* from fits cross join defaults), {shift_steps('fits')}
+select * from shifted"""
+ORACLES["page_regions"] = f"""
+with recursive defaults(field, place, a, b, c, d) as (values {_templates}), {FORM_ITEMS}, {anchor_steps()},
+p as (select doc_id, anchor, cy, ey * {K.PAGE_HEIGHT} as ex from anchors join (values {_anchor_values}) v(i, anchor, ey) using (anchor)), {FIT},
+t as (select o_orderkey as doc_id, defaults.* from orders cross join defaults), {shift_steps('fits')}
+select doc_id, true as dynamic, field, roi_x1, roi_y1, roi_x2, roi_y2 from shifted
+union all select doc_id, false, field, cast(trunc(1600 * a) as int), cast(trunc(2200 * b) as int), cast(trunc(1600 * c) as int), cast(trunc(2200 * d) as int)
+from t anti join shifted using (doc_id)"""
 ORACLES["roi_assign"] = f"""
 with {LINES}, t(field, place, a, b, c, d) as (values {_templates})
 select doc_id, line_no, field, text from lines join t on (x1 + x2) / 2.0 >= trunc(1600 * a) and (x1 + x2) / 2.0 < trunc(1600 * c)
@@ -650,6 +782,22 @@ VERDICTS = f"""
     decided as (select *, case when account_valid and cheque_name_valid and pan_valid and payee_valid then 'Approved' else 'Rejected' end as final_decision
         from verdicts)"""
 ORACLES["cheque_decision"] = f"with {VERDICTS} select * from decided"
+ORACLES["account_register"] = """
+with c as (select case when c_custkey % 17 = 0 then ' ' when c_custkey % 19 = 0 then '1234567890123456' || (10000 + c_custkey)
+      when c_custkey % 5 < 2 then cast(100000000 + c_custkey - c_custkey % 5 as varchar) else cast(100000000 + c_custkey as varchar) end as account_number,
+    'HOLDER ' || c_custkey as account_holder_name, c_custkey from customer),
+delivered as (select account_number, account_holder_name from c union all select account_number, account_holder_name from c where c_custkey % 7 = 0),
+judged as (select *, case when trim(account_number) = '' then 'Missing account number.' when len(account_number) > 20 then 'Account number too long.' end as fault,
+    row_number() over (partition by account_number order by account_holder_name) as k from delivered)
+select account_number, account_holder_name, case when fault is not null or k > 1 then count(*) end as copies,
+  case when fault is not null then fault when k > 1 then 'Account number already registered.' end as reason
+from (select account_number, account_holder_name, fault, case when fault is null then least(k, 2) else 0 end as k from judged) group by account_number, account_holder_name, fault, k"""
+ORACLES["cheque_from_lines"] = f"""
+with {VERDICTS}, told as (select *, case_id % 10 = 7 or case_id % 9 = 4 or case_id % 11 = 3 as lacking from decided)
+select case_id, case when not lacking then account_number end as account_number, case when not lacking then payee_name end as payee_name,
+  {", ".join(f"case when not lacking then {c} end as {c}" for c in ("account_valid", "cheque_name_valid", "pan_valid", "payee_valid", "signature_valid", "final_decision"))},
+  case when lacking then 'Missing required documents.' end as error from told
+where not (case_id % 10 = 7 and case_id % 9 = 4 and case_id % 11 = 3) -- nothing tells of a case without any document"""
 ORACLES["verdict_report"] = f"""
 with {VERDICTS}, r as (select case_id, unnest([{{'position': 0, 'label': 'Account Exists', 'v': account_valid}}, {{'position': 1, 'label': 'PAN Owner Match', 'v': pan_valid}},
   {{'position': 2, 'label': 'Payee Aadhaar Match', 'v': payee_valid}}, {{'position': 3, 'label': 'Signature Verified', 'v': signature_valid}}]) as r from decided)
@@ -710,9 +858,27 @@ CALIBRATED = f"""
         greatest(0, least(1, (event_id * 71 % 140) / 128.0::double)) as bx, greatest(0, least(1, (event_id * 11 % 140 - 8) / 128.0::double)) as by_ from events),
     calibrated as (select template_id, field, least(ax, bx) as x1, least(ay, by_) as y1, greatest(ax, bx) as x2, greatest(ay, by_) as y2
         from (select *, row_number() over (partition by template_id, field order by event_id desc) as k from drags) where k = 1)"""
+STORED = f"""
+    t0(field, place, a, b, c, d) as (values {_templates}),
+    stored as (select template_id, t0.* from (select distinct 'user-' || user_id as template_id from events) cross join t0),
+    users as (select template_id, field, coalesce(x1, a) as x1, coalesce(y1, b) as y1, coalesce(x2, c) as x2, coalesce(y2, d) as y2
+        from stored full outer join calibrated using (template_id, field))"""
 ORACLES["calibration_boxes"] = f"with {CALIBRATED} select * from calibrated"
-ORACLES["roi_merge"] = f"""
-with {CALIBRATED}, t(field, place, a, b, c, d) as (values {_templates}),
-stored as (select template_id, t.* from (select distinct 'user-' || user_id as template_id from events) cross join t)
-select template_id, field, coalesce(x1, a) as x1, coalesce(y1, b) as y1, coalesce(x2, c) as x2, coalesce(y2, d) as y2
-from stored full outer join calibrated using (template_id, field)"""
+ORACLES["roi_merge"] = f"with {CALIBRATED}, {STORED} select * from users"
+_order = f"list_position({strings(K.FIELD_ORDER)}, field)"
+ORACLES["roi_assign_by_template"] = f"""
+with {DOCUMENT_ITEMS}, {CALIBRATED}, {STORED},
+saved as (select * from users union all select 'form-' || r_regionkey, field, a + r_regionkey * 0.005::double, b + r_regionkey * 0.004::double,
+    c + r_regionkey * 0.005::double, d + r_regionkey * 0.004::double from region cross join t0),
+pages as (select doc_id, case when doc_id % 2 = 0 then 'form-0' when doc_id % 4 = 3 then 'user-' || (doc_id % 40) else 'form-' || (doc_id % 7) end as template_id,
+    1600 + doc_id % 2 * 100 as width, 2200 + doc_id % 3 * 50 as height, doc_id % 5 < 3 as fitted,
+    (doc_id % 33 + 240) / 256.0::double as scale, (doc_id % 41) * 4.0::double - 80.0 as o from documents),
+t as (select doc_id, field, {_order} as place, x1 as a, y1 as b, x2 as c, y2 as d from pages join saved using (template_id)
+    union all select doc_id, t0.field, {_order.replace('field', 't0.field')}, a, b, c, d from pages cross join t0 where template_id not in (select template_id from saved)),
+fits as (select * from pages where fitted), {shift_steps('fits', 'width', 'height')},
+regions as (select *, true as moved from shifted
+    union all select doc_id, field, cast(trunc(width * a) as int), cast(trunc(height * b) as int), cast(trunc(width * c) as int), cast(trunc(height * d) as int), false
+    from t join pages using (doc_id) where doc_id not in (select doc_id from shifted)),
+boxes as (select doc_id, line_no, text, x1, y1, x2, y2 from lines where boxed union all select doc_id, line_no, text, x1, c - 16, x1 + 270, c + 16 from printed)
+select l.doc_id, line_no, field, moved, text, roi_x1, roi_y1, roi_x2, roi_y2 from boxes l join regions p on p.doc_id = l.doc_id
+  and (x1 + x2) / 2.0 >= roi_x1 and (x1 + x2) / 2.0 < roi_x2 and (y1 + y2) / 2.0 >= roi_y1 and (y1 + y2) / 2.0 < roi_y2"""

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanweave import constants as K
-from scanweave.functions.geometry import roi
+from scanweave.functions.geometry import roi, template_rois
+from scanweave.operators.calibration import calibrated_regions, merge_templates
 from scanweave.sources.tables import read_table
 
 LABEL_LINES = {
@@ -36,8 +37,16 @@ PAYLOADS = [
 MIMES = ["image/jpeg", "IMAGE/PNG", "image/webp", "", "image/gif", "text/html"]
 
 
+#: key of the tables whose rows are cut, joined or cleaned further on
+KEYS = {"documents": ["doc_id"], "lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"], "events": ["event_id"],
+        "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return read_table(spark, f"{d}/{name}.parquet")
+    """A given table.  Those that recipes make longer are spread by key first: one row group
+    would otherwise be one task, with all that is fused to its scan."""
+    rows = read_table(spark, f"{d}/{name}.parquet")
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEYS[name]) if name in KEYS else rows
 
 
 def part_count(spark: SparkSession, d: str) -> Column:
@@ -180,22 +189,32 @@ def state_texts(spark, d) -> DataFrame:
         k.alias("doc_id"), "state", F.when(k % 3 == 0, damaged).otherwise(F.col("state")).alias("text"))
 
 
-def form_lines(spark, d) -> DataFrame:
-    """One page per order with the printed labels of the form, stretched, shifted and misread."""
+def printed_labels(pages: DataFrame, key: str, first_line=0) -> DataFrame:
+    """The printed labels of the form on every page, stretched, shifted and misread."""
     labels = F.array(*[
         F.struct(F.lit(t).alias("text"), F.lit(y).alias("y")) for t, y in LABEL_LINES.items()])
-    k = F.col("o_orderkey")
-    lines = table(spark, d, "orders").select("o_orderkey", F.posexplode(labels).alias("line_no", "l"))
+    k, i = F.col(key), F.col("i")
+    lines = pages.select(key, F.posexplode(labels).alias("i", "l"))
     cy = F.col("l.y") * K.PAGE_HEIGHT * (0.97 + (k % 7) * 0.01) + (k % 13) * 3
     text = F.when(k % 5 == 0, F.translate("l.text", "OE", "0F")).otherwise(F.col("l.text"))
-    text = F.when((k + F.col("line_no")) % 9 == 0, "SMUDGE").otherwise(text)
-    x1 = 70 + (k * 3 + F.col("line_no") * 11) % 40
+    text = F.when((k + i) % 9 == 0, "SMUDGE").otherwise(text)
+    x1 = 70 + (k * 3 + i * 11) % 40
     return lines.select(
-        k.alias("doc_id"), k.alias("read_id"), "line_no", text.alias("text"), F.lit(0.95).alias("score"),
+        k.alias("doc_id"), k.alias("read_id"), (i + first_line).alias("line_no"), text.alias("text"), F.lit(0.95).alias("score"),
         corners(x1, F.floor(cy) - 16, x1 + 270, F.floor(cy) + 16).alias("box"),
     )
 
 
+def form_lines(spark, d) -> DataFrame:
+    """One page per order with nothing but the printed labels."""
+    return printed_labels(table(spark, d, "orders"), "o_orderkey")
+
+
+def labelled_lines(spark, d) -> DataFrame:
+    """The lines of the documents with the form's labels printed over them."""
+    return ocr_lines(spark, d).unionByName(printed_labels(table(spark, d, "documents"), "doc_id", 1_000_000))
+
+
 def anchor_points(spark, d) -> DataFrame:
     """Detected label centres per order: expected place times a stretch plus a shift, with an
     outlier now and then.  Values are sixteenths of a pixel."""
@@ -312,6 +331,55 @@ def case_texts(spark, d) -> DataFrame:
     )
 
 
+def delivered_accounts(spark, d) -> DataFrame:
+    """The accounts as a branch might deliver them: numbers missing, too long or used again."""
+    k = F.col("c_custkey")
+    number = F.when(k % 17 == 0, F.lit(" ")).when(k % 19 == 0, F.concat(F.lit("1234567890123456"), (10000 + k).cast("string")))
+    number = number.when(k % 5 < 2, (100000000 + k - k % 5).cast("string")).otherwise((100000000 + k).cast("string"))
+    rows = table(spark, d, "customer").select(number.alias("account_number"), F.concat(F.lit("HOLDER "), F.col("c_custkey").cast("string")).alias("account_holder_name"), "c_custkey")
+    again = rows.where("c_custkey % 7 = 0")
+    return rows.unionByName(again).drop("c_custkey")
+
+
+def case_lines(spark, d) -> DataFrame:
+    """The documents of each case word by word; some cases lack one."""
+    k = F.col("case_id")
+    texts = F.array(
+        F.struct(F.lit("cheque").alias("doc_type"), F.when(k % 10 != 7, F.col("cheque_text")).alias("text")),
+        F.struct(F.lit("pan").alias("doc_type"), F.when(k % 9 != 4, F.col("pan_text")).alias("text")),
+        F.struct(F.lit("aadhaar").alias("doc_type"), F.when(k % 11 != 3, F.col("aadhaar_text")).alias("text")))
+    documents = case_texts(spark, d).select("case_id", F.explode(texts).alias("t")).where("t.text is not null")
+    return documents.select("case_id", "t.doc_type", F.posexplode(F.split("t.text", " ")).alias("line_no", "text"))
+
+
+def user_templates(spark, d) -> DataFrame:
+    """The regions of every user who draws boxes: the defaults and what was drawn."""
+    users = table(spark, d, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("template_id")).distinct()
+    stored = users.select("template_id", F.explode(template_rois()).alias("t")).select("template_id", "t.*")
+    return merge_templates(stored, calibrated_regions(drag_events(spark, d)))
+
+
+def form_templates(spark, d) -> DataFrame:
+    """A moved copy of the default regions per region of the world, beside the users' templates."""
+    k = F.col("r_regionkey")
+    forms = table(spark, d, "region").select(k, F.explode(template_rois()).alias("t")).select(
+        F.concat(F.lit("form-"), k.cast("string")).alias("template_id"), "t.field", F.col("t.x1") + k * 0.005, F.col("t.y1") + k * 0.004,
+        F.col("t.x2") + k * 0.005, F.col("t.y2") + k * 0.004).toDF("template_id", "field", "x1", "y1", "x2", "y2")
+    return forms.unionByName(user_templates(spark, d).select("template_id", "field", "x1", "y1", "x2", "y2"))
+
+
+def templated_pages(spark, d) -> DataFrame:
+    """Documents scanned on forms of several kinds, most with a fit of their labels.  Half of
+    them use one form; some name a template that nobody saved."""
+    k = F.col("doc_id")
+    template = F.when(k % 2 == 0, "form-0").when(k % 4 == 3, F.concat(F.lit("user-"), (k % 40).cast("string"))).otherwise(
+        F.concat(F.lit("form-"), (k % 7).cast("string")))
+    found = k % 5 < 3
+    return table(spark, d, "documents").select(
+        "doc_id", template.alias("template_id"), (1600 + k % 2 * 100).cast("int").alias("width"), (2200 + k % 3 * 50).cast("int").alias("height"),
+        F.when(found, (k % 33 + 240) / 256.0).alias("scale"), F.when(found, (k % 41) * 4.0 - 80.0).alias("offset"))
+
+
 def drag_events(spark, d) -> DataFrame:
     k = F.col("event_id")
     return table(spark, d, "events").select(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from scanweave import schemas
 from scanweave.functions.fields import upload_error
+from scanweave.operators.cheque import register_accounts
 
 _MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp"}
 
@@ -70,6 +71,15 @@ def read_accounts(spark: SparkSession, path, fmt="parquet", **options) -> DataFr
     return reader.load(path) if path else reader.load()
 
 
+def load_accounts(accounts: DataFrame, path) -> DataFrame:
+    """Settles an account table once, when it is loaded: the register goes to
+    ``path/register``, rows that break its rules to ``path/quarantine``.  Returns the register."""
+    register, quarantine = register_accounts(accounts)
+    register.write.mode("overwrite").parquet(f"{path}/register")
+    quarantine.write.mode("overwrite").parquet(f"{path}/quarantine")
+    return accounts.sparkSession.read.parquet(f"{path}/register")
+
+
 def duplicate_accounts(accounts: DataFrame) -> DataFrame:
     """Numbers that break the uniqueness of the account table; empty when it is sound."""
     return accounts.groupBy("account_number").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -126,27 +126,17 @@ def label_leakage(field: Column, normalized: Column) -> Column:
 
 
 # --- label phrase in a layout row ------------------------------------------------------
-def letter_counts(text: str) -> Column:
-    """A fixed text as (letters with their counts, length)."""
-    letters = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(text.count(c)).alias("n")) for c in dict.fromkeys(text)])
-    return F.struct(letters.alias("letters"), F.lit(len(text)).alias("n"))
+def letter_set(text: str) -> Column:
+    """The letters of a fixed text and its length."""
+    return F.struct(F.lit("".join(dict.fromkeys(text))).alias("letters"), F.lit(len(text)).alias("n"))
 
 
 def ratio_bound(text: Column, wanted: Column) -> Column:
-    """No piece of the text has a higher ratio with the wanted one (as ``letter_counts``): m
-    symbols in common need a piece of m symbols at least."""
-
-    def more(m, letter):
-        return m + F.least(letter["n"], F.length(text) - F.length(F.replace(text, letter["c"], F.lit(""))))
-
-    return F.aggregate(wanted["letters"], F.lit(0), more, lambda m: 2.0 * m / (m + wanted["n"]))
-
-
-def _weighed(near: Column, slack=0.0) -> Column:
-    """Score of the phrase's words from the ratio of the nearest word of the row for each."""
-    total = F.aggregate(near, F.lit(0.0), lambda acc, r: acc + r)
-    close = F.size(F.filter(near, lambda r: r >= K.PHRASE_CLOSE_RATIO - slack))
-    return K.PHRASE_RATIO_WEIGHT * (total / F.size(near)) + K.PHRASE_CLOSE_WEIGHT * (close / F.size(near))
+    """No piece of the text has a higher ratio with the wanted one (as ``letter_set``): symbols in
+    common are symbols of both, and m of them need a piece of m symbols at least.  0 for no text."""
+    m = F.least(wanted["n"], F.length(text) - F.length(F.call_function("translate", text, wanted["letters"], F.lit(""))))
+    n = F.greatest(wanted["n"], F.lit(1))
+    return 2.0 - 2.0 * n / (m + n)  # 2m / (m + n), with the counted letters in one place only
 
 
 def _less_surplus(score: Column, surplus: Column) -> Column:
@@ -155,33 +145,52 @@ def _less_surplus(score: Column, surplus: Column) -> Column:
     return score * F.greatest(F.lit(K.PHRASE_SURPLUS_FLOOR), kept)
 
 
-def phrase_counts(phrase: str) -> Column:
-    """A fixed phrase as its own letter counts and those of its words."""
-    return F.struct(letter_counts(phrase).alias("whole"), F.array(*[letter_counts(w) for w in phrase.split()]).alias("words"))
+def phrase_sets(phrase: str, most_words: int) -> list[Column]:
+    """The letter sets of a fixed phrase (``whole``) and of its words (``w0``, ``w1``, ...), as
+    fields of a struct of equal shape for all phrases."""
+    words = phrase.split()
+    words += [""] * (most_words - len(words))
+    return [letter_set(phrase).alias("whole"), *[letter_set(w).alias(f"w{i}") for i, w in enumerate(words)], F.lit(len(phrase.split())).alias("n_words")]
 
 
-def phrase_bound(text: Column, token_count: Column, counts: Column) -> Column:
-    """At least the phrase score of a normalized row, from letter counts alone."""
-    by_words = _weighed(F.transform(counts["words"], lambda w: ratio_bound(text, w)), slack=1e-9)
-    return _less_surplus(F.greatest(by_words, ratio_bound(text, counts["whole"])), token_count - F.size(counts["words"]))
+def phrase_bound(text: Column, token_count: Column, sets: Column, most_words: int) -> Column:
+    """At least the phrase score of a normalized row, from its letters alone.  A filter on it
+    has no common parts to share, so every part is in it once: a word that counts as close is
+    stood for by its ratio over the least close one."""
+    weight = K.PHRASE_RATIO_WEIGHT + K.PHRASE_CLOSE_WEIGHT / K.PHRASE_CLOSE_RATIO
+    by_words = sum((ratio_bound(text, sets[f"w{i}"]) for i in range(most_words)), F.lit(0.0)) * weight / sets["n_words"]
+    return _less_surplus(F.least(F.lit(1.0), F.greatest(by_words, ratio_bound(text, sets["whole"]))), token_count - sets["n_words"])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def nearest_ratios(wanted: pd.Series, given: pd.Series) -> pd.Series:
-    """For every wanted text its ratio with the nearest of the given ones."""
-    out = [[max(gestalt_ratio(w, g) for g in gs) for w in ws] for ws, gs in zip(wanted, given)]
-    return pd.Series(out, dtype=object)
+def _nearest(wanted: str, given: list[str]) -> float:
+    return max(gestalt_ratio(wanted, g) for g in given)
+
+
+@F.pandas_udf(T.DoubleType())
+def _by_words(phrase: pd.Series, row: pd.Series) -> pd.Series:
+    """The weighed ratios of the nearest word of a row for each word of a phrase."""
+
+    def score(wanted, given):
+        near = np.array([_nearest(w, given.split()) for w in wanted.split()])
+        return float(K.PHRASE_RATIO_WEIGHT * near.mean() + K.PHRASE_CLOSE_WEIGHT * (near >= K.PHRASE_CLOSE_RATIO).mean())
+
+    return per_distinct(score, phrase, row).astype("float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _by_run(phrase: pd.Series, runs: pd.Series) -> pd.Series:
+    """The ratio of the nearest of several runs of words, one a line."""
+    return per_distinct(lambda wanted, given: _nearest(wanted, given.split("\n")), phrase, runs).astype("float64")
 
 
-def phrase_score(text: Column, phrase: Column) -> Column:
+def phrase_score(text: Column, token_count: Column, phrase: Column, phrase_words: Column) -> Column:
     """How well a normalized row shows a label phrase, 0..1: by the nearest word of the row for
-    each word of the phrase, or by the nearest run of as many words; surplus words cost."""
-    row, want = tokens(text), tokens(phrase)
-    n = F.least(F.size(row), F.size(want))
-    runs = F.transform(F.sequence(F.lit(1), F.size(row) - n + 1), lambda i: F.array_join(F.slice(row, i, n), " "))
-    by_words = _weighed(nearest_ratios(want, row))
-    by_run = F.get(nearest_ratios(F.array(phrase), runs), F.lit(0))
-    return _less_surplus(F.greatest(by_words, by_run), F.size(row) - F.size(want))
+    each word of the phrase, or by the nearest run of as many words; surplus words cost.  NULL
+    for no text."""
+    n = F.least(token_count, phrase_words)
+    runs = F.transform(F.sequence(F.lit(1), token_count - n + 1), lambda i: F.array_join(F.slice(tokens(text), i, n), " "))
+    nearest = F.greatest(_by_words(phrase, text), _by_run(phrase, F.when(text.isNotNull(), F.array_join(runs, "\n"))))
+    return _less_surplus(nearest, token_count - phrase_words)
 
 
 # --- best alignment of the shorter text within the longer ----------------------------------

@@ -308,11 +308,17 @@ ORACLES["holder_name"] = f"""
 select conv_id, turn, array_to_string(list_filter(string_split({_letters}, ' '),
   lambda w: len(w) > 2 and not list_contains({strings(K.HOLDER_NOISE_WORDS)}, w))[1:2], ' ') as holder_name
 from conversations"""
+_state_rows = ", ".join(f"({i}, {quote(c)}, {quote(c.replace(' ', '').replace('-', ''))})" for i, c in enumerate(K.STATES))
 ORACLES["state_match"] = f"""
--- One replaced letter leaves a ratio of (n - 1) / n, so only three-letter names are lost.
-with s as (select o_orderkey as doc_id, {pick(K.STATES, 'o_orderkey % 36')} as state from orders),
-t as (select *, case when doc_id % 3 = 0 then {replace_letter('state', 'doc_id % len(state)', 'X')} else state end as text from s)
-select doc_id, text, case when doc_id % 3 = 0 and len(state) < 5 then text else state end as state from t"""
+with recursive s as (select o_orderkey as doc_id, {pick(K.STATES, 'o_orderkey % 36')} as state from orders),
+t as (select *, case when doc_id % 3 = 0 then {replace_letter('state', 'doc_id % len(state)', 'X')} else state end as text from s),
+cleaned as (select *, {clean_name('text')} as c from t),
+choices(place, choice, compact) as (values {_state_rows}),
+offers as (select distinct c, replace(replace(c, ' ', ''), '-', '') as a, place, choice, compact as b from cleaned cross join choices),
+pairs as (select a, b from offers),
+{gestalt_steps('pairs')},
+nearest as (select c, choice from (select *, row_number() over (partition by c order by ratio desc, place) as k from offers join g using (a, b)) where k = 1 and ratio >= {K.STATE_MIN_RATIO})
+select doc_id, text, case when c in (select choice from choices) then c else coalesce(choice, c) end as state from cleaned left join nearest using (c)"""
 
 # --- reads and votes ---------------------------------------------------------------------------
 _TOP = "case when boxed then y1 else 0 end, case when boxed then x1 else 0 end, line_no"
@@ -549,10 +555,16 @@ ADDRESS_READS = f"""
         + case when (r // 5) % 2 = 0 then 0.0::double else 0.03::double end as confidence, case when (k + r % 5) % 4 = 0 then ''
         when (k + r) % 3 = 0 then {replace_letter('street', '(k + r * 3) % len(street)', 'X')} else street end as raw_text from addr0)"""
 ORACLES["address_repair"] = f"""
--- The relation line was damaged in one letter of at least seven, so the known name always comes back.
-with {ADDRESS_READS}, n as (select doc_id, max(raw_text) as street from address_reads where line_idx = 0 group by doc_id)
-select doc_id, case when street = '' then 'S/OX' else 'S/O ' || upper(street) end as address_line_1,
-  case when street = '' then 'S/OX' else 'S/O ' || upper(street) end || ' HIGH STREET' as full_address from n"""
+with recursive {ADDRESS_READS}, n as (select doc_id, upper(max(raw_text)) as known from address_reads where line_idx = 0 group by doc_id),
+src as (select doc_id as id, '' as raw, '' as pin, '' as state, ['S/O ' || {replace_letter('known', 'doc_id % greatest(len(known), 1)', 'X')}, 'HIGH STREET'] as lines from n),
+{parse_steps('src')},
+told as (select p.*, known, string_split(ls[1], ' ')[1] as relation, case when string_split(ls[1], ' ')[1] in ({", ".join(map(quote, K.RELATION_PREFIXES))})
+    and contains(ls[1], ' ') then substr(ls[1], strpos(ls[1], ' ') + 1) end as rest from parsed p join n on n.doc_id = p.id),
+pairs as (select rest as a, known as b from told where rest is not null and known <> ''),
+{gestalt_steps('pairs')},
+fixed as (select told.*, case when ratio >= {K.KNOWN_NAME_MIN_RATIO} then relation || ' ' || known end as line from told left join g on g.a = rest and g.b = known)
+select id as doc_id, coalesce(line, address_line_1) as address_line_1,
+  case when len(ls) > 0 then array_to_string(list_prepend(coalesce(line, ls[1]), ls[2:]), ' ') else full_address end as full_address from fixed"""
 
 ORACLES["address_vote"] = f"""
 with recursive {ADDRESS_READS}, {address_line_steps('address_reads', 'doc_id, ordinal', 'raw_text')},
@@ -714,6 +726,26 @@ n as (select *, row_number() over (partition by rowid_ order by i) - 1 as place
 select doc_id, field, cast(place as int) as roi_ordinal, round(far, 9) as distance,
   cast(l as int) as roi_x1, cast(t as int) as roi_y1, cast(rr as int) as roi_x2, cast(bb as int) as roi_y2 from n where l is not null"""
 
+_label_words = ", ".join(f"({quote(f)}, {quote(w)})" for f, ws in K.FIELD_LABELS.items() for w in ws)
+_label_counts = ", ".join(f"({quote(f)}, {len(ws)})" for f, ws in K.FIELD_LABELS.items())
+_floors = ", ".join(f"({quote(f)}, {v}::double)" for f, v in K.REFINE_MIN_CONFIDENCE.items())
+ORACLES["refine_gate"] = f"""
+with recursive {LINES}, label_words(field, label) as (values {_label_words}), label_counts(field, n) as (values {_label_counts}), floors(field, floor) as (values {_floors}),
+r as (select doc_id, line_no, {pick(K.ENGINE_FIELDS, 'line_no % 7')} as field, text, {clean_name('text')} as clean, score,
+    {squeeze(rx(upper("text"), r"[^\p{L}\p{N}]+", " "))} as plain from lines),
+words as (select distinct doc_id, line_no, field, unnest(string_split(plain, ' ')) as word from r),
+near as (select distinct label, word from (select distinct label from label_words), (select distinct word from words)
+    where 2.0 * least(len(label), len(word)) >= {K.LEAKAGE_TOKEN_RATIO} * (len(label) + len(word))
+      and 2.0 * list_sum(list_transform(list_distinct(string_split(label, '')), lambda c: least(len(label) - len(replace(label, c, '')), len(word) - len(replace(word, c, '')))))
+        >= {K.LEAKAGE_TOKEN_RATIO} * (len(label) + len(word))),
+pairs as (select label as a, word as b from near),
+{gestalt_steps('pairs')},
+leaks as (select doc_id, line_no, count(distinct label) as k from words join label_words using (field) join g on g.a = label and g.b = word
+    where ratio >= {K.LEAKAGE_TOKEN_RATIO} group by all),
+told as (select r.*, floor, coalesce(k * 1.0::double / n, 0) as leakage from r left join leaks using (doc_id, line_no) left join label_counts using (field) left join floors using (field))
+select doc_id, line_no, field, round(leakage, 6) as leakage,
+  coalesce(floor is not null and (score < floor or leakage >= {K.LEAKAGE_LIMIT} or (trim(text) <> '' and trim(clean) = '')), false) as needs_refine from told"""
+
 ORACLES["refine_winner"] = f"""
 with r as (select l_orderkey as doc_id, case when l_linenumber = 1 then -1 else {ordinal()} end as roi_ordinal, {ordinal()} as o,
     case when l_linenumber = 1 then 100 else 100 + (l_partkey % 9 - 4) * 5 end as x1, case when l_linenumber = 1 then 100 else 100 - l_suppkey % 7 end as y1,

@@ -88,15 +88,12 @@ def test_few_rows_are_compared_with_labels(spark, sf_dir):
 
     lines = recipes.labelled_lines(spark, sf_dir).withColumn("height", F.lit(K.PAGE_HEIGHT))
     rows = layout.layout_rows(lines).cache()
-    pairs = layout.anchor_candidates(rows)
-    labels = len([p for spec in K.ANCHORS.values() for p in spec["phrases"]])
-    assert 0 < pairs.count() < 0.2 * rows.count() * labels
+    pairs = layout.placed_pairs(rows).where(layout.can_reach())
+    assert 0 < pairs.count() < 0.2 * rows.count() * len(layout.PHRASES)
     # the bound is never below the score
-    fitting = rows.withColumn("s", F.explode(layout.anchor_phrases()))
-    text = F.col("normalized_text")
-    scored = fitting.withColumn("score", layout.phrase_score(text, F.col("s.phrase"))).withColumn(
-        "bound", layout.phrase_bound(text, F.col("token_count"), F.col("s.counts")))
-    assert scored.where("bound < score - 1e-9").count() == 0
+    scored = layout.placed_pairs(rows).withColumn("score", layout.phrase_score(
+        F.col("normalized_text"), F.col("token_count"), F.col("s.phrase"), F.col("s.n_words")))
+    assert scored.where(layout.pair_bound() < F.col("score") - 1e-9).count() == 0
     rows.unpersist()
 
 

@@ -84,8 +84,10 @@ def fallback_read(lines: DataFrame, key="doc_id") -> DataFrame:
     )
 
 
-def address_vote(line_reads: DataFrame, fallback_lines: DataFrame = None, key="doc_id") -> DataFrame:
+def address_vote(line_reads: DataFrame = None, fallback_lines: DataFrame = None, key="doc_id") -> DataFrame:
     """Address per document: line windows first, the whole-crop read where none is usable."""
+    if line_reads is None:
+        return fallback_read(fallback_lines, key)
     rolled = roll_up_lines(line_winners(line_reads, key), key)
     if fallback_lines is None:
         return rolled

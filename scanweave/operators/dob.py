@@ -1,5 +1,7 @@
 """Birth date from digit boxes, else from day/month/year segments, else from the crop."""
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,23 +131,35 @@ def segment_dob(segment_reads: DataFrame, current_year=DEFAULT_CURRENT_YEAR, key
     ).where("clean_text <> ''")
 
 
-def resolve_dob(box_reads: DataFrame, tail_reads: DataFrame, segment_reads: DataFrame,
-                crop_reads: DataFrame, current_year=DEFAULT_CURRENT_YEAR, key="doc_id") -> DataFrame:
-    """The cascade as one vote: every stage offers its dates with a rank and the lowest rank
-    of a document wins.  Box sets 0 and 1 belong to the base crop, 2 and 3 to the clean one;
-    ``tail_reads`` carry the crop (0 or 1) they were taken from."""
+def _boxed_offers(box_reads, tail_reads, current_year, key) -> DataFrame:
     boxed = boxed_dob(box_reads, current_year, key).withColumn("crop", F.floor(F.col("box_set") / 2).cast("int"))
-    hints = tail_hint(tail_reads, (key, "crop")).select(key, "crop", "hint_digit", "hint_letter")
-    repaired = boxed.join(hints, [key, "crop"], "left").withColumn("r", repair_year_tail(
+    if tail_reads is not None:
+        hints = tail_hint(tail_reads, (key, "crop")).select(key, "crop", "hint_digit", "hint_letter")
+        boxed = boxed.join(hints, [key, "crop"], "left")
+    else:
+        boxed = boxed.withColumns({"hint_digit": F.lit(""), "hint_letter": F.lit(None).cast("string")})
+    repaired = boxed.withColumn("r", repair_year_tail(
         F.col("clean_text"), F.col("raw_text"), F.coalesce("hint_digit", F.lit("")), F.col("hint_letter")))
-    stage_1 = repaired.select(key, F.col("box_set").cast("int").alias("rank"), "r.raw_text", "r.clean_text", "confidence")
-    stage_2 = segment_dob(segment_reads, current_year, key).select(
-        key, F.lit(10).alias("rank"), "raw_text", "clean_text", "confidence")
-    whole = crop_reads.withColumn("clean_text", clean_dob(F.col("raw_text"), current_year)).withColumn(
-        "raw_text", F.trim("raw_text")).withColumn("field", F.lit("dob"))
-    stage_3 = consensus(whole, (key,)).select(key, F.lit(20).alias("rank"), "raw_text", "clean_text", "confidence")
-    offers = stage_1.unionByName(stage_2).unionByName(stage_3)
-    return offers.groupBy(key).agg(
+    return repaired.select(key, F.col("box_set").cast("int").alias("rank"), "r.raw_text", "r.clean_text", "confidence")
+
+
+def resolve_dob(box_reads: DataFrame = None, tail_reads: DataFrame = None, segment_reads: DataFrame = None,
+                crop_reads: DataFrame = None, current_year=DEFAULT_CURRENT_YEAR, key="doc_id") -> DataFrame:
+    """The cascade as one vote: every stage offers its dates with a rank and the lowest rank
+    of a document wins.  Box sets 0 and 1 belong to the base crop, 2 and 3 to the clean one;
+    ``tail_reads`` carry the crop (0 or 1) they were taken from.  A stage without reads offers
+    nothing; one of boxes, segments and whole crops must be given."""
+    offers = []
+    if box_reads is not None:
+        offers.append(_boxed_offers(box_reads, tail_reads, current_year, key))
+    if segment_reads is not None:
+        offers.append(segment_dob(segment_reads, current_year, key).select(
+            key, F.lit(10).alias("rank"), "raw_text", "clean_text", "confidence"))
+    if crop_reads is not None:
+        whole = crop_reads.withColumn("clean_text", clean_dob(F.col("raw_text"), current_year)).withColumn(
+            "raw_text", F.trim("raw_text")).withColumn("field", F.lit("dob"))
+        offers.append(consensus(whole, (key,)).select(key, F.lit(20).alias("rank"), "raw_text", "clean_text", "confidence"))
+    return functools.reduce(DataFrame.unionByName, offers).groupBy(key).agg(
         F.min_by(F.struct("raw_text", "clean_text", "confidence"), "rank").alias("w")
     ).select(key, "w.*")
 

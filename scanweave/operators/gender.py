@@ -59,10 +59,13 @@ def gender_scores(scores: DataFrame, key="doc_id") -> DataFrame:
         entries, lambda e: F.struct(e["label"].alias("label"), e["score"].alias("score"))).alias("scores"))
 
 
-def gender_field(scores: DataFrame, reads: DataFrame, key="doc_id") -> DataFrame:
+def gender_field(scores: DataFrame, reads: DataFrame = None, key="doc_id") -> DataFrame:
     """Gender per document with the larger of read and tick-box confidence."""
-    resolved = gender_scores(scores, key).withColumn("g", resolve_gender(F.col("scores")))
-    joined = resolved.join(reads.select(key, "raw_text", F.col("confidence").alias("read_conf")), key, "left")
+    joined = gender_scores(scores, key).withColumn("g", resolve_gender(F.col("scores")))
+    if reads is not None:
+        joined = joined.join(reads.select(key, "raw_text", F.col("confidence").alias("read_conf")), key, "left")
+    else:
+        joined = joined.withColumns({"raw_text": F.lit(None).cast("string"), "read_conf": F.lit(None).cast("double")})
     return joined.select(
         key, F.trim(F.coalesce("raw_text", F.lit(""))).alias("raw_text"), F.col("g.gender").alias("clean_text"),
         merge_confidence(F.coalesce("read_conf", F.lit(0.0)), F.col("g.confidence")).alias("confidence"),

@@ -69,6 +69,13 @@ def account_search(spark, d):
     return cheque.search_accounts(accounts, "Widget").unionByName(cheque.search_accounts(accounts, "0012"))
 
 
+@query
+def recogniser_lines(spark, d):
+    lines = intake.recogniser_lines(recipes.recogniser_json(spark, d))
+    return lines.select("doc_id", "line_no", "text", "score", geometry.box_bounds(F.col("box")).alias("b"), "fault").select(
+        "doc_id", "line_no", "text", "score", *[F.col(f"b.{e}").alias(e) for e in EDGES], "fault")
+
+
 # --- text --------------------------------------------------------------------------
 def _lines(spark, d, fn, name="clean_text"):
     return recipes.ocr_lines(spark, d).select("doc_id", "line_no", fn(F.col("text")).alias(name))
@@ -463,6 +470,14 @@ def profile_projection(spark, d):
         F.array_join(F.array_sort(F.map_keys("raw_extracted_text")), ",").alias("raw_fields"))
 
 
+@query
+def form_profiles(spark, d):
+    p = jobs.extract_profiles(**recipes.form_reads(spark, d))
+    return p.select(
+        "doc_id", "full_name", "father_name", "dob", "gender", "location.*", F.col("confidence_metrics")["name"]["score_percentage"].alias("name_score"),
+        F.array_join(F.array_sort(F.map_keys("confidence_metrics")), ",").alias("metric_fields"))
+
+
 @query
 def report_rows(spark, d):
     return sinks.profile_report(_profiles(spark, d))

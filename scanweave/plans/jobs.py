@@ -1,5 +1,7 @@
 """The two whole jobs: forms to profiles, and cheque cases to verdicts."""
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,34 +35,42 @@ def clean_reads(reads: DataFrame, current_year=DEFAULT_CURRENT_YEAR) -> DataFram
     return reads.withColumn("clean_text", clean).withColumn("raw_text", F.trim("raw_text"))
 
 
-def field_results(text_reads, address_reads=None, address_lines=None, box_reads=None, tail_reads=None,
-                  segment_reads=None, dob_reads=None, gender_scores=None, gender_reads=None,
+def field_results(text_reads=None, address_reads=None, address_lines=None, box_reads=None, tail_reads=None,
+                  segment_reads=None, dob_reads=None, gender_scores=None, gender_reads=None, documents=None,
                   output_fields=None, current_year=DEFAULT_CURRENT_YEAR) -> DataFrame:
-    """One row per document and field from whatever reads are given.  Only the fields the
-    requested outputs need are worked on."""
+    """One row per document and field from whatever reads are given; each of them is optional.
+    Only the fields the requested outputs need are worked on.  With ``documents`` (their keys),
+    a document without any read gets one row without a field."""
     needed = {f for o in (output_fields or K.PRIMARY_FIELDS) for f in K.REQUIRED_ENGINE_FIELDS.get(o, [])} or set(K.ENGINE_FIELDS)
     text_fields = [f for f in ("name", "father_name", "state", "pin") if f in needed]
     none = F.lit(None).cast("array<string>")
     parts = []
-    if text_fields:
+
+    def add(field, found):
+        parts.append(found.withColumns({"field": F.lit(field), "address_lines": none}))
+
+    if text_fields and text_reads is not None:
         parts.append(consensus(clean_reads(text_reads.where(F.col("field").isin(text_fields)), current_year))
                      .withColumn("address_lines", none))
-    if "address" in needed and address_reads is not None:
+    if "address" in needed and (address_reads is not None or address_lines is not None):
         parts.append(address_vote(address_reads, address_lines).withColumn("field", F.lit("address")))
-    if "dob" in needed and box_reads is not None:
-        parts.append(resolve_dob(box_reads, tail_reads, segment_reads, dob_reads, current_year)
-                     .withColumn("field", F.lit("dob")).withColumn("address_lines", none))
+    if "dob" in needed and any(r is not None for r in (box_reads, segment_reads, dob_reads)):
+        add("dob", resolve_dob(box_reads, tail_reads, segment_reads, dob_reads, current_year))
     if "gender" in needed and gender_scores is not None:
-        parts.append(gender_field(gender_scores, gender_reads)
-                     .withColumn("field", F.lit("gender")).withColumn("address_lines", none))
-    results = parts[0].select(*RESULT)
-    for p in parts[1:]:
-        results = results.unionByName(p.select(*RESULT))
-    return results
+        add("gender", gender_field(gender_scores, gender_reads))
+    if documents is not None:
+        text = F.lit(None).cast("string")
+        parts.append(documents.select("doc_id").distinct().withColumns({
+            "field": text, "raw_text": text, "clean_text": text, "confidence": F.lit(None).cast("double"), "address_lines": none}))
+    if not parts:
+        raise ValueError("no reads for the requested outputs, and no documents")
+    return functools.reduce(DataFrame.unionByName, [p.select(*RESULT) for p in parts])
 
 
 def extract_profiles(output_fields=None, **reads) -> DataFrame:
-    """Profiles with the requested outputs (all by default)."""
+    """Profiles with the requested outputs (all by default), from any of the reads that
+    ``field_results`` takes.  With ``documents``, each of them has a profile, the default one
+    where nothing was read."""
     results = field_results(output_fields=output_fields, **reads)
     return project_profile(assemble_profiles(results), output_fields or K.OUTPUT_FIELDS)
 

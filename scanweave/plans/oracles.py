@@ -249,6 +249,16 @@ with {ACCOUNTS}
 select * from accounts where lower(account_holder_name) like '%widget%'
 union all select * from accounts where account_number like '%0012%'"""
 
+ORACLES["recogniser_lines"] = f"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents
+    where doc_id % 11 <> 0 and doc_id % 13 <> 0 and doc_id % 17 <> 0),
+k as (select *, (doc_id + i) % 23 = 0 as broken, (doc_id + i) % 5 <> 0 as boxed, (i * 131 + doc_id * 7) % 900 as x from l)
+select doc_id, cast(i as int) as line_no, case when not broken then trim({upper('text')}) end as text, case when not broken then ((doc_id * 31 + i * 17) % 128) / 128.0::double end as score,
+  cast(case when boxed and not broken then x end as int) as x1, cast(case when boxed and not broken then i * 40 end as int) as y1,
+  cast(case when boxed and not broken then x + 60 end as int) as x2, cast(case when boxed and not broken then i * 40 + 18 end as int) as y2,
+  case when broken then 'Not a line.' end as fault from k
+union all select doc_id, null, null, null, null, null, null, null, case when doc_id % 11 = 0 then 'Not JSON.' else 'Not a page.' end from documents where doc_id % 11 = 0 or doc_id % 13 = 0"""
+
 # --- text -----------------------------------------------------------------------------------
 ORACLES["clean_generic"] = f"with {LINES} select doc_id, line_no, {clean_generic('text')} as clean_text from lines"
 ORACLES["clean_name"] = f"with {LINES} select doc_id, line_no, {clean_name('text')} as clean_text from lines"
@@ -869,6 +879,13 @@ select id as doc_id, case when list_contains(fields, 'full_name') then name end
   case when list_contains(fields, 'confidence_metrics') then array_to_string(list_sort(public_fields), ',') end as metric_fields,
   case when list_contains(fields, 'raw_extracted_text') then array_to_string(list_sort(public_fields), ',') end as raw_fields from x""".replace(
     "parsed as (select id, error,", "parsed_fields as (select id, error,").replace("p.*, f.fields,", "p.*, f.fields, f.sel,")
+ORACLES["form_profiles"] = f"""
+with {PROFILES}, {DOB_PARTS}, f as (select o.*, id % 7 <> 0 as seen, id % 5 <> 0 as has_pin, {to_digits(base_clean("day || ' ' || month || ' ' || year"))} as g
+  from o join dob_parts on doc_id = id)
+select id as doc_id, case when seen then {clean_name('name')} else '' end as full_name, case when seen then {clean_name('father_name')} else '' end as father_name,
+  case when seen then {dob_text_of('g')} else '' end as dob, 'Male' as gender, case when seen then state else '' end as state,
+  case when seen and has_pin then pin else '' end as pincode, 'INDIA' as country, case when seen then round_even((id % 64) / 64.0::double, 4) * 100 end as name_score,
+  case when seen then 'dob,father_name,name' || case when has_pin then ',pin' else '' end || ',state' else '' end as metric_fields from f"""
 ORACLES["report_rows"] = f"""
 with {PROFILES}, r as (select id, unnest([{{'p': 0, 'label': 'Full Name', 'v': name}}, {{'p': 1, 'label': 'Date of Birth', 'v': dob}}, {{'p': 2, 'label': 'Father''s Name', 'v': father_name}},
   {{'p': 3, 'label': 'Gender', 'v': gender}}, {{'p': 4, 'label': 'State', 'v': state}}, {{'p': 5, 'label': 'Pincode', 'v': pin}},

@@ -85,6 +85,39 @@ def ocr_lines(spark, d) -> DataFrame:
     )
 
 
+def recogniser_json(spark, d) -> DataFrame:
+    """What a recogniser would have written of the documents, one JSON text each: lines with and
+    without a box, broken lines, records that are cut off, no page, or blank pages."""
+    doc = F.col("doc_id")
+
+    def line(t, i):
+        score = ((doc * 31 + i * 17) % 128 / 128.0).cast("string")
+        quoted = F.to_json(F.struct(t.alias("t")))
+        text = F.concat(F.lit("["), quoted.substr(F.lit(6), F.length(quoted) - 6), F.lit(","), score, F.lit("]"))
+        x, y = (i * 131 + doc * 7) % 900, i * 40
+        box = F.concat(*[F.lit("[["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("],["), (x + 60).cast("string"), F.lit(","), (y + 18).cast("string"), F.lit("]]")])
+        return F.when((doc + i) % 23 == 0, F.lit('{"odd": 1}')).when((doc + i) % 5 == 0, text).otherwise(F.concat(F.lit("["), box, F.lit(","), text, F.lit("]")))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line)
+    whole = F.concat(F.lit("[["), F.array_join(lines, ","), F.lit("]]"))
+    raw = F.when(doc % 11 == 0, whole.substr(F.lit(1), F.length(whole) - 3)).when(doc % 13 == 0, F.lit('{"a": 1}')).when(doc % 17 == 0, F.lit("[null]")).otherwise(whole)
+    return table(spark, d, "documents").select("doc_id", doc.alias("read_id"), raw.alias("raw"))
+
+
+def form_reads(spark, d) -> dict:
+    """Reads of one form per order: the text fields twice, the date as a whole crop.  Some forms
+    lack a field, some were never read."""
+    k = F.col("doc_id")
+    fields = profile_results(spark, d).where(F.col("field").isin("name", "father_name", "state", "pin")).where((k % 7 != 0) & ((k % 5 != 0) | (F.col("field") != "pin")))
+    dates = dob_parts(spark, d).where(k % 7 != 0).select(
+        "doc_id", F.lit(0).alias("ordinal"), F.concat_ws(" ", "day", "month", "year").alias("raw_text"), F.lit(0.5).alias("confidence"))
+    return {
+        "documents": table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")),
+        "text_reads": fields.select("doc_id", "field", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"), "raw_text", "confidence"),
+        "dob_reads": dates,
+    }
+
+
 def ordinal() -> Column:
     """Position of a line item; the four keys and the quantity tell all items apart."""
     item = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_suppkey") % 64

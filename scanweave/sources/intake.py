@@ -41,20 +41,33 @@ def read_lines(spark: SparkSession, path, fmt="parquet", stream=False) -> DataFr
     return reader.schema(schemas.OCR_LINES).format(fmt).load(path)
 
 
-def flatten_recogniser_json(raw: DataFrame, column="raw", keys=("doc_id", "read_id")) -> DataFrame:
-    """Nested recogniser output, one JSON text per read, to lines.  A detected line is
-    ``[box, [text, score]]``, a line without detection ``[text, score]``; only the first page
-    counts.  Lines come out trimmed and upper-cased like every recognised text."""
-    page = F.try_variant_get(F.try_parse_json(F.col(column)), "$[0]", "array<variant>")
-    lines = raw.select(*keys, F.posexplode(page).alias("line_no", "l"))
+def recogniser_lines(raw: DataFrame, column="raw", keys=("doc_id", "read_id")) -> DataFrame:
+    """Nested recogniser output, one JSON text per read, to lines with a quarantine column.  A
+    detected line is ``[box, [text, score]]``, a line without detection ``[text, score]``; only
+    the first page counts, and ``[null]`` is a page where nothing was read.  Lines come out
+    trimmed and upper-cased like every recognised text.  ``fault`` is NULL for a good line; a
+    record that is no JSON or no page has one row with its fault, a broken line is a row with
+    its number and its fault."""
+    records = raw.select(*keys, F.try_parse_json(F.col(column)).alias("_parsed")).withColumns({
+        "_page": F.try_variant_get("_parsed", "$[0]", "array<variant>"),
+        "_blank": F.coalesce(F.is_variant_null(F.try_variant_get("_parsed", "$[0]", "variant")), F.lit(False))})
+    record_fault = F.when(F.col("_parsed").isNull(), F.lit("Not JSON.")).when(
+        F.col("_page").isNull() & ~F.col("_blank"), F.lit("Not a page."))
+    lines = records.select(*keys, record_fault.alias("record_fault"), F.posexplode_outer("_page").alias("line_no", "l"))
+    lines = lines.where("l is not null or record_fault is not null")
     corners = F.try_variant_get(F.col("l"), "$[0]", "array<array<double>>")
     found = F.try_variant_get("l", "$[1][0]", "string").isNotNull() & corners.isNotNull()
-    text = F.when(found, F.try_variant_get("l", "$[1][0]", "string")).otherwise(F.try_variant_get("l", "$[0]", "string"))
+    text = F.when(found, F.try_variant_get("l", "$[1][0]", "string")).when(corners.isNull(), F.try_variant_get("l", "$[0]", "string"))
     score = F.when(found, F.try_variant_get("l", "$[1][1]", "double")).otherwise(F.try_variant_get("l", "$[1]", "double"))
     box = F.transform(corners, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return lines.select(
-        *keys, "line_no", F.trim(F.upper(text)).alias("text"), score.alias("score"),
-        F.when(found, box).alias("box"))
+    fault = F.coalesce("record_fault", F.when(text.isNull() | score.isNull(), F.lit("Not a line.")))
+    told = lines.select(*keys, "line_no", F.trim(F.upper(text)).alias("text"), score.alias("score"), F.when(found, box).alias("box"), fault.alias("fault"))
+    return told.withColumns({c: F.when(F.col("fault").isNull(), F.col(c)) for c in ("text", "score", "box")})
+
+
+def flatten_recogniser_json(raw: DataFrame, column="raw", keys=("doc_id", "read_id")) -> DataFrame:
+    """The good lines of ``recogniser_lines``."""
+    return recogniser_lines(raw, column, keys).where("fault is null").drop("fault")
 
 
 def recognise(documents: DataFrame, recogniser, schema=schemas.OCR_LINES) -> DataFrame:

@@ -83,3 +83,48 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     want = verify_cheques(cases, accounts)
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_any_of_the_reads_is_enough(spark):
+    every = reads(spark)
+    dated = {k: every[k] for k in ("dob_reads",)}
+    p = jobs.extract_profiles(**dated).collect()
+    assert [(r["doc_id"], r["dob"], r["full_name"], r["gender"]) for r in p] == [(1, "01/01/1999", "", "Male")]
+    # boxes without hints for their tail: the year stays as it was voted, and wins over the whole crop
+    p = jobs.extract_profiles(box_reads=every["box_reads"], **dated).first()
+    assert p["dob"] == "01/01/1954"
+    p = jobs.extract_profiles(box_reads=every["box_reads"], tail_reads=every["tail_reads"]).first()
+    assert p["dob"] == "01/01/1957"
+    lines = spark.createDataFrame([(4, 0, 0, "S/O GANGAPPA", .9, None), (4, 0, 1, "MAIN ROAD", .7, None)],
+                                  "doc_id long, ordinal int, line_no int, text string, score double, box array<struct<x:double,y:double>>")
+    p = jobs.extract_profiles(address_lines=lines).first()
+    assert p["address_details"].lines == ["S/O GANGAPPA", "MAIN ROAD"]
+    p = jobs.extract_profiles(gender_scores=every["gender_scores"]).first()
+    assert p["gender"] == "Male" and set(p["raw_extracted_text"]) == {"gender"}
+
+
+def test_documents_without_reads_have_a_default_profile(spark):
+    every = reads(spark)
+    documents = spark.createDataFrame([(1,), (7,), (7,)], "doc_id long")
+    got = {r["doc_id"]: r for r in jobs.extract_profiles(documents=documents, **every).collect()}
+    assert set(got) == {1, 7} and got[1]["full_name"] == "NARASEMHAPPA"
+    empty = got[7]
+    assert (empty["full_name"], empty["dob"], empty["gender"], empty["father_name"]) == ("", "", "Male", "")
+    assert tuple(empty["location"]) == ("", "", "INDIA") and empty["confidence_metrics"] == {} and empty["raw_extracted_text"] == {}
+    only = jobs.extract_profiles(documents=documents).collect()
+    assert sorted(r["doc_id"] for r in only) == [1, 7]
+    try:
+        jobs.extract_profiles(tail_reads=every["tail_reads"])
+    except ValueError:
+        return
+    raise AssertionError("tails alone are no reads of a field")
+
+
+def test_stream_tells_of_incomplete_cases(spark, tmp_path):
+    accounts = spark.createDataFrame([("123456789", "RAVI KUMAR")], "account_number string, account_holder_name string")
+    rows = [(1, "123456789 RAVI KUMAR", "RAVI KUMAR", "RAVI KUMAR"), (2, "x", None, "y")]
+    spark.createDataFrame(rows, cheques.CASE_SCHEMA).write.parquet(str(tmp_path / "in"))
+    q = cheques.stream_verdicts(cheques.read_cases(spark, str(tmp_path / "in")), accounts, str(tmp_path / "out"), str(tmp_path / "cp"), errors=True)
+    q.awaitTermination(300)
+    got = {r["case_id"]: (r["final_decision"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: ("Approved", None), 2: (None, "Missing required documents.")}

@@ -120,3 +120,17 @@ def test_read_back(spark):
     got = sinks.read_back(spark.createDataFrame(rows, "json string")).collect()
     assert [r["profile"] and r["profile"]["full_name"] for r in got] == ["A", "B", "C", None, None, None, "D"]
     assert [r["error"] is None for r in got] == [True, True, True, False, False, False, True]
+
+
+def test_broken_recogniser_output_is_kept(spark):
+    raws = [(1, None), (2, "{"), (3, "7"), (4, '{"a": []}'), (5, "[null]"), (6, "[[]]"), (7, "[]"),
+            (8, '[[["a", 0.5], 7, ["b"], [[[0, 1], [2, 3]], ["c", 0.25]], [[[0, 1]], 5]]]')]
+    df = spark.createDataFrame(raws, "doc_id long, raw string")
+    got = {}
+    for r in intake.recogniser_lines(df, keys=("doc_id",)).collect():
+        got.setdefault(r["doc_id"], []).append((r["line_no"], r["text"], r["fault"]))
+    broken = "Not a line."
+    assert {k: sorted(v, key=repr) for k, v in got.items()} == {
+        1: [(None, None, "Not JSON.")], 2: [(None, None, "Not JSON.")], 3: [(None, None, "Not a page.")], 4: [(None, None, "Not a page.")],
+        7: [(None, None, "Not a page.")],
+        8: [(0, "A", None), (1, None, broken), (2, None, broken), (3, "C", None), (4, None, broken)]}

@@ -478,6 +478,19 @@ def form_profiles(spark, d):
         F.array_join(F.array_sort(F.map_keys("confidence_metrics")), ",").alias("metric_fields"))
 
 
+@query
+def requested_profiles(spark, d):
+    given = recipes.form_reads(spark, d)
+    asked = fields.parse_fields(recipes.pick(recipes.PAYLOADS, F.col("doc_id") % len(recipes.PAYLOADS)))
+    # exploded, the parsed request is a column of its own; else each use of it would parse again
+    requests = given.pop("documents").select("doc_id", F.explode(F.array(asked["fields"])).alias("fields")).where("fields is not null")
+    p = jobs.requested_profiles(requests, **given)
+    return p.select(
+        "doc_id", "full_name", "father_name", "dob", "gender", F.col("location.state").alias("state"), F.col("location.pincode").alias("pincode"),
+        F.array_join(F.array_sort(F.map_keys("confidence_metrics")), ",").alias("metric_fields"),
+        F.array_join(F.array_sort(F.map_keys("raw_extracted_text")), ",").alias("raw_fields"))
+
+
 @query
 def report_rows(spark, d):
     return sinks.profile_report(_profiles(spark, d))

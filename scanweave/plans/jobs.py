@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanweave import constants as K
 from scanweave.functions.dates import DEFAULT_CURRENT_YEAR
+from scanweave.functions.fields import required_engine_fields
 from scanweave.functions.pin import clean_pin
 from scanweave.functions.fuzzy import fuzzy_choice
 from scanweave.functions.text import clean_generic, clean_name, clean_state_text
@@ -75,6 +76,29 @@ def extract_profiles(output_fields=None, **reads) -> DataFrame:
     return project_profile(assemble_profiles(results), output_fields or K.OUTPUT_FIELDS)
 
 
+#: the engine field that each kind of reads serves; text reads name theirs
+READS_FOR = {
+    "address_reads": "address", "address_lines": "address", "box_reads": "dob", "tail_reads": "dob", "segment_reads": "dob",
+    "dob_reads": "dob", "gender_scores": "gender", "gender_reads": "gender",
+}
+
+
+def requested_profiles(requests: DataFrame, **reads) -> DataFrame:
+    """One profile per request (doc_id, fields: the outputs wanted), different outputs for every
+    document.  Reads that no output of their document needs are dropped before anything is
+    cleaned or voted on, by semi joins with the requests.  A document has one request."""
+    needs = requests.select("doc_id", F.explode(required_engine_fields(F.col("fields"))).alias("field"))
+
+    def needed(kind, given):
+        field = READS_FOR.get(kind)
+        if field is None:
+            return given.join(needs, ["doc_id", "field"], "left_semi")
+        return given.join(needs.where(F.col("field") == field).select("doc_id"), "doc_id", "left_semi")
+
+    results = field_results(documents=requests, **{k: needed(k, r) for k, r in reads.items() if r is not None})
+    return project_profile(assemble_profiles(results).join(requests.select("doc_id", "fields"), "doc_id"), F.col("fields"))
+
+
 def verify_documents(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Recognised lines of the documents of each case, to a verdict or an error per case.
     ``accounts`` is the register that ``sources.intake.load_accounts`` wrote."""

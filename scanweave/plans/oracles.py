@@ -879,13 +879,22 @@ select id as doc_id, case when list_contains(fields, 'full_name') then name end
   case when list_contains(fields, 'confidence_metrics') then array_to_string(list_sort(public_fields), ',') end as metric_fields,
   case when list_contains(fields, 'raw_extracted_text') then array_to_string(list_sort(public_fields), ',') end as raw_fields from x""".replace(
     "parsed as (select id, error,", "parsed_fields as (select id, error,").replace("p.*, f.fields,", "p.*, f.fields, f.sel,")
+FORMS = f"""
+    {PROFILES.split('src as')[0].strip().rstrip(',')}, {DOB_PARTS},
+    read_forms as (select o.*, id % 7 <> 0 as seen, id % 5 <> 0 as has_pin, {to_digits(base_clean("day || ' ' || month || ' ' || year"))} as g from o join dob_parts on doc_id = id),
+    forms as (select id, case when seen then {clean_name('name')} else '' end as full_name, case when seen then {clean_name('father_name')} else '' end as father_name,
+        case when seen then {dob_text_of('g')} else '' end as dob, 'Male' as gender, case when seen then state else '' end as state,
+        case when seen and has_pin then pin else '' end as pincode, 'INDIA' as country, case when seen then round_even((id % 64) / 64.0::double, 4) * 100 end as name_score,
+        case when not seen then [] when has_pin then ['dob', 'father_name', 'name', 'pin', 'state'] else ['dob', 'father_name', 'name', 'state'] end as present from read_forms)"""
 ORACLES["form_profiles"] = f"""
-with {PROFILES}, {DOB_PARTS}, f as (select o.*, id % 7 <> 0 as seen, id % 5 <> 0 as has_pin, {to_digits(base_clean("day || ' ' || month || ' ' || year"))} as g
-  from o join dob_parts on doc_id = id)
-select id as doc_id, case when seen then {clean_name('name')} else '' end as full_name, case when seen then {clean_name('father_name')} else '' end as father_name,
-  case when seen then {dob_text_of('g')} else '' end as dob, 'Male' as gender, case when seen then state else '' end as state,
-  case when seen and has_pin then pin else '' end as pincode, 'INDIA' as country, case when seen then round_even((id % 64) / 64.0::double, 4) * 100 end as name_score,
-  case when seen then 'dob,father_name,name' || case when has_pin then ',pin' else '' end || ',state' else '' end as metric_fields from f"""
+with {FORMS} select id as doc_id, * exclude (id, present), array_to_string(present, ',') as metric_fields from forms"""
+_shown = "array_to_string(list_filter(present, lambda f: list_contains(public_fields, f)), ',')"
+ORACLES["requested_profiles"] = f"""
+with {FORMS}, payloads as (select o_orderkey as id, {pick(recipes.PAYLOADS, f'o_orderkey % {len(recipes.PAYLOADS)}')} as p from orders), {FIELD_STEPS},
+x as (select forms.*, fields, {_mapped(K.PUBLIC_ENGINE_FIELDS)} as public_fields from forms join parsed using (id) where fields is not null)
+select id as doc_id, {", ".join(f"case when list_contains(fields, '{c}') then {c} end as {c}" for c in ("full_name", "father_name", "dob", "gender"))},
+  case when list_contains(fields, 'location') then state end as state, case when list_contains(fields, 'location') then pincode end as pincode,
+  case when list_contains(fields, 'confidence_metrics') then {_shown} end as metric_fields, case when list_contains(fields, 'raw_extracted_text') then {_shown} end as raw_fields from x"""
 ORACLES["report_rows"] = f"""
 with {PROFILES}, r as (select id, unnest([{{'p': 0, 'label': 'Full Name', 'v': name}}, {{'p': 1, 'label': 'Date of Birth', 'v': dob}}, {{'p': 2, 'label': 'Father''s Name', 'v': father_name}},
   {{'p': 3, 'label': 'Gender', 'v': gender}}, {{'p': 4, 'label': 'State', 'v': state}}, {{'p': 5, 'label': 'Pincode', 'v': pin}},

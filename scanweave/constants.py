@@ -200,6 +200,7 @@ FIELD_PADDING = {
 }
 LEAKAGE_TOKEN_RATIO = 0.84
 LEAKAGE_LIMIT = 0.18
+RESULT_BONUS = 0.18
 REVIEW_CONFIDENCE = 0.90
 
 # --- fixed values: cheque rules and known-name repair ----------------------------

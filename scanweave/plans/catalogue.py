@@ -15,6 +15,7 @@ from scanweave.operators import gender as gender_op
 from scanweave.plans import jobs, recipes
 from scanweave.shipping import ship
 from scanweave.sources import intake, sinks
+from scanweave.sources.shared import settle
 
 QUERIES = {}
 
@@ -388,6 +389,13 @@ def refine_winner(spark, d):
     return flat(out, "doc_id", "field", "weak", "raw_text", "clean_text", "confidence", "score", roi=("roi", EDGES))
 
 
+@query
+def refine_rounds(spark, d):
+    read = recipes.stand_in_reads(recipes.base_regions(spark, d).select("doc_id", "field", "roi"))
+    out = refine.refine_rounds(read, recipes.stand_in_reads, settle)
+    return flat(out, "doc_id", "field", "weak", "raw_text", "clean_text", "confidence", "score", roi=("roi", EDGES))
+
+
 # --- cheques ---------------------------------------------------------------------------
 @query
 def account_lookup(spark, d):

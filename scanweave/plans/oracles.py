@@ -716,8 +716,8 @@ _moves = [
     "cx, cy, 0, 0", "0, 0, -cx, 0", "0, 0, 0, -cy", "cx, 0, gx, 0", "0, cy, 0, gy",
 ]
 _move_rows = ", ".join(f"{{'i': {i}, 'a': {a}, 'b': {b}, 'c': {c}, 'd': {d}}}" for i, (a, b, c, d) in enumerate(m.split(", ") for m in _moves))
-ORACLES["roi_candidates"] = f"""
-with pads(field, ex, ey, sx, sy) as (values {_pads}),
+CANDIDATES = f"""
+    pads(field, ex, ey, sx, sy) as (values {_pads}),
 r as (select {ordinal()} as doc_id, {pick(list(K.FIELD_PADDING), 'l_orderkey % 6')} as field, (l_partkey * 37) % 1500 as x1,
     (l_suppkey * 53 + l_linenumber * 211) % 2150 as y1,
     cast(least(1600, (l_partkey * 37) % 1500 + 20 + l_quantity * 9) as int) as x2,
@@ -730,12 +730,32 @@ c1 as (select *, greatest(l + 1, least(1600, x2 + v.c)) as rr, greatest(t + 1, l
 c2 as (select *, rr - l >= 12 and bb - t >= 12 as ok from c1),
 u as (select rowid_, doc_id, field, case when ok then l end as l, case when ok then t end as t, case when ok then rr end as rr, case when ok then bb end as bb,
     min(v.i) as i, any_value((abs(l - x1) + abs(t - y1) + abs(rr - x2) + abs(bb - y2)) / greatest(1, (x2 - x1) + (y2 - y1))) as far
-  from c2 group by all),
+  from c2 group by all)"""
+ORACLES["roi_candidates"] = f"""
+with {CANDIDATES},
 -- all variants that got too small count as one
 n as (select *, row_number() over (partition by rowid_ order by i) - 1 as place from u)
 select doc_id, field, cast(place as int) as roi_ordinal, round(far, 9) as distance,
   cast(l as int) as roi_x1, cast(t as int) as roi_y1, cast(rr as int) as roi_x2, cast(bb as int) as roi_y2 from n where l is not null"""
 
+
+
+def _stand_in(x1, y1, x2, y2) -> str:
+    return f"(({x1}) * 7 + ({y1}) * 3 + ({x2}) * 5 + ({y2}) * 11) % 64 / 64.0::double as c, (({x2}) - ({x1})) % 30 as len_"
+
+
+_gain = "c + case when len_ > 0 then least(0.18::double, len_ * 0.008::double) else -0.10::double end"
+ORACLES["refine_rounds"] = f"""
+with {CANDIDATES}, limits(field, floor) as (values {", ".join(f"({quote(f)}, {v}::double)" for f, v in K.REFINE_MIN_CONFIDENCE.items())}),
+base as (select rowid_, doc_id, field, x1, y1, x2, y2, -1 as i, 0.0::double as far, {_stand_in('x1', 'y1', 'x2', 'y2')} from r),
+told as (select *, c < floor or len_ = 0 as weak from base join limits using (field)),
+tried as (select rowid_, doc_id, field, l as x1, t as y1, rr as x2, bb as y2, i, far, {_stand_in('l', 't', 'rr', 'bb')} from u where l is not null),
+every as (select rowid_, doc_id, field, x1, y1, x2, y2, i, c, len_, far from base
+    union all select tried.* exclude (far), tried.far from tried join base b using (rowid_) where (tried.x1, tried.y1, tried.x2, tried.y2) <> (b.x1, b.y1, b.x2, b.y2)),
+ranked as (select every.*, weak, round({_gain} - far * 0.15, 9) as score from every join (select rowid_, weak from told) using (rowid_) where every.i = -1 or weak),
+best as (select *, row_number() over (partition by rowid_ order by score desc, i) as k from ranked)
+select doc_id, field, weak, 'R ' || repeat('A', len_) as raw_text, repeat('A', len_) as clean_text, c as confidence, score,
+  cast(x1 as int) as roi_x1, cast(y1 as int) as roi_y1, cast(x2 as int) as roi_x2, cast(y2 as int) as roi_y2 from best where k = 1"""
 _label_words = ", ".join(f"({quote(f)}, {quote(w)})" for f, ws in K.FIELD_LABELS.items() for w in ws)
 _label_counts = ", ".join(f"({quote(f)}, {len(ws)})" for f, ws in K.FIELD_LABELS.items())
 _floors = ", ".join(f"({quote(f)}, {v}::double)" for f, v in K.REFINE_MIN_CONFIDENCE.items())

@@ -391,9 +391,11 @@ def refine_winner(spark, d):
 
 @query
 def refine_rounds(spark, d):
-    read = recipes.stand_in_reads(recipes.base_regions(spark, d).select("doc_id", "field", "roi"))
+    # the left edge tells items apart that share the ordinal
+    regions = recipes.base_regions(spark, d).withColumn("doc_id", F.col("doc_id") * 2048 + F.col("roi.x1"))
+    read = recipes.stand_in_reads(regions.select("doc_id", "field", "roi"))
     out = refine.refine_rounds(read, recipes.stand_in_reads, settle)
-    return flat(out, "doc_id", "field", "weak", "raw_text", "clean_text", "confidence", "score", roi=("roi", EDGES))
+    return flat(out, "doc_id", "field", "weak", "raw_text", "clean_text", "confidence", roi=("roi", EDGES))
 
 
 # --- cheques ---------------------------------------------------------------------------

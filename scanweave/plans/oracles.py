@@ -747,14 +747,14 @@ def _stand_in(x1, y1, x2, y2) -> str:
 _gain = "c + case when len_ > 0 then least(0.18::double, len_ * 0.008::double) else -0.10::double end"
 ORACLES["refine_rounds"] = f"""
 with {CANDIDATES}, limits(field, floor) as (values {", ".join(f"({quote(f)}, {v}::double)" for f, v in K.REFINE_MIN_CONFIDENCE.items())}),
-base as (select rowid_, doc_id, field, x1, y1, x2, y2, -1 as i, 0.0::double as far, {_stand_in('x1', 'y1', 'x2', 'y2')} from r),
+base as (select rowid_, doc_id * 2048 + x1 as doc_id, field, x1, y1, x2, y2, -1 as i, 0.0::double as far, {_stand_in('x1', 'y1', 'x2', 'y2')} from r),
 told as (select *, c < floor or len_ = 0 as weak from base join limits using (field)),
-tried as (select rowid_, doc_id, field, l as x1, t as y1, rr as x2, bb as y2, i, far, {_stand_in('l', 't', 'rr', 'bb')} from u where l is not null),
+tried as (select rowid_, field, l as x1, t as y1, rr as x2, bb as y2, i, far, {_stand_in('l', 't', 'rr', 'bb')} from u where l is not null),
 every as (select rowid_, doc_id, field, x1, y1, x2, y2, i, c, len_, far from base
-    union all select tried.* exclude (far), tried.far from tried join base b using (rowid_) where (tried.x1, tried.y1, tried.x2, tried.y2) <> (b.x1, b.y1, b.x2, b.y2)),
+    union all select rowid_, b.doc_id, tried.field, tried.x1, tried.y1, tried.x2, tried.y2, tried.i, tried.c, tried.len_, tried.far from tried join base b using (rowid_) where (tried.x1, tried.y1, tried.x2, tried.y2) <> (b.x1, b.y1, b.x2, b.y2)),
 ranked as (select every.*, weak, round({_gain} - far * 0.15, 9) as score from every join (select rowid_, weak from told) using (rowid_) where every.i = -1 or weak),
 best as (select *, row_number() over (partition by rowid_ order by score desc, i) as k from ranked)
-select doc_id, field, weak, 'R ' || repeat('A', len_) as raw_text, repeat('A', len_) as clean_text, c as confidence, score,
+select doc_id, field, weak, 'R ' || repeat('A', len_) as raw_text, repeat('A', len_) as clean_text, c as confidence,
   cast(x1 as int) as roi_x1, cast(y1 as int) as roi_y1, cast(x2 as int) as roi_x2, cast(y2 as int) as roi_y2 from best where k = 1"""
 _label_words = ", ".join(f"({quote(f)}, {quote(w)})" for f, ws in K.FIELD_LABELS.items() for w in ws)
 _label_counts = ", ".join(f"({quote(f)}, {len(ws)})" for f, ws in K.FIELD_LABELS.items())

@@ -1,7 +1,7 @@
 """Send the package to the Python workers of a session that was started without it.
 
 A cluster job passes the package with --py-files; a notebook or a test that only has it on
-its own path calls ``ship`` once.
+its own path calls ``ship`` once.  It also sets what the package needs of the session.
 """
 
 import os
@@ -15,6 +15,9 @@ _shipped = set()
 
 
 def ship(spark: SparkSession) -> None:
+    # Spark 4.1 takes the union of two tables spread by one key for a table spread by it, but may
+    # string the partitions together where shuffles are reused; a group would then come apart.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -110,3 +110,19 @@ def test_a_field_outside_the_order_does_not_undo_the_layout(spark):
     low = F.col("t")[0].withField("field", F.lit("signature")).withField("y1", F.lit(0.97)).withField("y2", F.lit(0.99))
     moved = g.shifted_rois(F.lit(1600), F.lit(2200), F.lit(1.0), F.lit(0.0), F.concat("t", F.array(low)))
     assert known.select(F.size(moved).alias("n")).first().n == len(g.K.DEFAULT_ROIS) + 1
+
+
+def test_lines_of_a_union_meet_on_their_page(spark, tmp_path):
+    from scanweave.plans import recipes
+    from scanweave.shipping import ship
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: F.concat(F.lit("LINE "), i.cast("string"))), "\n")
+    spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ship(spark)
+    lines = recipes.labelled_lines(spark, str(tmp_path)).withColumn("height", F.lit(2200))
+    lines.write.parquet(f"{tmp_path}/lines.parquet")
+
+    def rows(of):
+        return {tuple(r) for r in layout.layout_rows(of).drop("block", "row").collect()}
+
+    assert rows(lines) == rows(spark.read.parquet(f"{tmp_path}/lines.parquet"))

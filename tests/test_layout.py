@@ -126,3 +126,10 @@ def test_lines_of_a_union_meet_on_their_page(spark, tmp_path):
         return {tuple(r) for r in layout.layout_rows(of).drop("block", "row").collect()}
 
     assert rows(lines) == rows(spark.read.parquet(f"{tmp_path}/lines.parquet"))
+
+
+def test_nothing_that_grows_with_the_pages_is_broadcast(spark, sf_dir):
+    from scanweave.plans.catalogue import QUERIES
+
+    df = QUERIES["page_regions"](spark, sf_dir)
+    assert df.count() and "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()

@@ -106,14 +106,15 @@ def tail_hint(tail_reads: DataFrame, keys=("doc_id",)) -> DataFrame:
 
 
 def segment_winners(segment_reads: DataFrame, key="doc_id") -> DataFrame:
-    """Best read per day, month and year segment: enough digits, confidence, digits."""
+    """Best read per day, month and year segment: enough digits, confidence, digits, first
+    ordinal; reads that share even that go by their text, so that no order of rows decides."""
     digits = letters_to_digits(F.col("raw_text"))
     expected = F.when(F.col("segment") == "year", 4).otherwise(2)
     n = F.length("digits")
     return segment_reads.withColumn("digits", digits).groupBy(key, "segment").agg(
         F.max_by(
             F.struct(F.trim("raw_text").alias("raw_text"), "digits", "confidence"),
-            F.struct(F.least(n, expected).alias("fit"), "confidence", n.alias("n"), (-F.col("ordinal")).alias("neg")),
+            F.struct(F.least(n, expected).alias("fit"), "confidence", n.alias("n"), (-F.col("ordinal")).alias("neg"), F.col("raw_text").alias("text")),
         ).alias("w")
     ).select(key, "segment", "w.*")
 

@@ -125,3 +125,13 @@ def test_last_box_prefers_a_close_seven(spark):
     assert got == {1: "01/01/1957", 3: "01/01/1957"}  # document 2 has a hint but no vote
     winners = {r["doc_id"] for r in dob.box_winners(dob.digit_votes(df)).collect()}
     assert winners == {1, 3}
+
+
+def test_segments_that_share_their_ordinal_do_not_depend_on_the_order_of_rows(spark):
+    from scanweave.operators.dob import segment_winners
+
+    rows = [(1, "day", 5, text, 0.5) for text in ("12", "I7", "31", "05")]
+    schema = "doc_id long, segment string, ordinal long, raw_text string, confidence double"
+    orders = [rows, rows[::-1], rows[2:] + rows[:2], rows[1:] + rows[:1]]
+    got = {segment_winners(spark.createDataFrame(o, schema).coalesce(1)).first() for o in orders}
+    assert [r["raw_text"] for r in got] == ["I7"]

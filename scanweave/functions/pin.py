@@ -1,5 +1,7 @@
 """Postal code digits out of noisy text."""
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -8,9 +10,10 @@ from scanweave.functions.text import base_clean, let
 
 
 def token_digits(token: Column, weak: bool = False) -> Column:
-    """Digits of a token; look-alike letters count, with ``weak`` also the thin ones."""
-    table = K.PIN_WEAK if weak else K.PIN_STRONG
-    return F.regexp_replace(F.translate(token, *table), "[^0-9]", "")
+    """Digits of a token ``[A-Z0-9|!]*``; look-alike letters count, with ``weak`` also the thin ones."""
+    alike, digits = K.PIN_WEAK if weak else K.PIN_STRONG
+    others = "".join(c for c in string.ascii_uppercase + "|!" if c not in alike)
+    return F.translate(token, alike + others, digits)  # what has no counterpart is dropped
 
 
 def _lane_digits(separator_lane: Column, digit_lane: Column) -> Column:
@@ -28,10 +31,14 @@ def _from_lanes(upper: Column) -> Column:
             F.regexp_replace(compact, "(.).?", "$1").alias("even"),
             F.regexp_replace(compact, ".(.?)", "$1").alias("odd"),
         )
-        return F.when(F.length(compact) >= 10, let(both, lambda b: F.coalesce(
+        # Mostly separators in one lane are a good part of both; few texts have them.
+        n = F.length(compact)
+        separators = n - F.length(F.translate(compact, K.PIN_SEPARATORS, ""))
+        possible = (n >= 10) & (separators * 5 >= F.floor(n / 2) * 3)
+        return F.when(possible, let(both, lambda b: F.coalesce(
             _lane_digits(b["even"], b["odd"]), _lane_digits(b["odd"], b["even"]))))
 
-    return let(F.regexp_replace(upper, "[^A-Z0-9|!]", ""), lanes)
+    return let(F.regexp_replace(upper, "[^A-Z0-9|!]+", ""), lanes)
 
 
 def _from_tokens(upper: Column) -> Column:
@@ -52,7 +59,7 @@ def _from_tokens(upper: Column) -> Column:
 
 def pin_digits(c: Column) -> Column:
     def read(upper):
-        joined = let(F.regexp_replace(upper, "[^0-9]", ""),
+        joined = let(F.regexp_replace(upper, "[^0-9]+", ""),
                      lambda j: F.when(F.length(j) >= 6, F.left(j, F.lit(6))))
         return F.coalesce(_from_lanes(upper), _from_tokens(upper), joined, F.lit(""))
 

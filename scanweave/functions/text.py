@@ -21,7 +21,7 @@ def let(value: Column, body) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, " +", " "))
+    return F.trim(F.regexp_replace(c, " {2,}", " "))  # single blanks are no match
 
 
 def fold_ascii(c: Column) -> Column:
@@ -65,7 +65,7 @@ def clean_generic(c: Column) -> Column:
 
 
 def _long_words(c: Column) -> Column:
-    letters = F.regexp_replace(digits_to_letters(c), "[^A-Z ]", "")
+    letters = F.regexp_replace(digits_to_letters(c), "[^A-Z ]+", "")
     return squeeze(F.regexp_replace(letters, r"\b[A-Z]{1,2}\b", ""))
 
 

@@ -1,6 +1,6 @@
 """Address field: a vote per line window, roll-up, fallback, known-name repair."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave import constants as K
@@ -26,9 +26,8 @@ def line_candidates(reads: DataFrame) -> DataFrame:
 def line_winners(reads: DataFrame, key="doc_id") -> DataFrame:
     """Best text per document and line window."""
     group = [key, "line_idx"]
-    buckets = text_buckets(line_candidates(reads), group)
-    read = F.struct(F.col("best.raw").alias("raw_text"), "clean_text", F.col("best.conf").alias("confidence"))
-    whole = buckets.groupBy(*group).agg(F.count(F.lit(1)).alias("n_texts"), F.min(read).alias("r"))
+    buckets = text_buckets(line_candidates(reads), group).select(*group, "clean_text", "conf_sum", "best")
+    sized = buckets.withColumn("n_texts", F.count(F.lit(1)).over(Window.partitionBy(*group)))
 
     def rank(vote):
         short = F.size(F.filter(tokens(F.col("clean_text")), lambda w: F.length(w) <= 1))
@@ -36,9 +35,7 @@ def line_winners(reads: DataFrame, key="doc_id") -> DataFrame:
             vote.alias("vote"), F.col("best.conf").alias("conf"), (-short).alias("short"),
             F.length(F.replace("clean_text", F.lit(" "), F.lit(""))).alias("n"), F.col("best.neg").alias("neg"))
 
-    alone = whole.where("n_texts = 1").select(*group, "r")
-    voted = similarity_winners(buckets, whole.where("n_texts > 1"), group, rank)
-    return alone.unionByName(voted).select(*group, "r.*")
+    return similarity_winners(sized, group, rank).select(*group, "r.*")
 
 
 def roll_up_lines(winners: DataFrame, key="doc_id") -> DataFrame:

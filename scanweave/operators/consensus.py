@@ -9,11 +9,10 @@ dealt into tiles; the task of a tile holds its texts and streams all texts of th
 them, so it ends with whole votes, and a group of any size is spread over its tiles.
 """
 
-import functools
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave import constants as K
@@ -26,7 +25,7 @@ CHUNK = 2048
 PLACES = 80
 
 
-def text_buckets(reads: DataFrame, keys) -> DataFrame:
+def text_buckets(reads: DataFrame, keys, *more) -> DataFrame:
     """Per distinct clean text: support, confidence sum, first ordinal, the raw text of the
     best read (last of equals) and the single best read (first of equals)."""
     conf, ordinal = F.col("confidence"), F.col("ordinal")
@@ -36,6 +35,7 @@ def text_buckets(reads: DataFrame, keys) -> DataFrame:
         F.min(ordinal).alias("first_ordinal"),
         F.max_by("raw_text", F.struct(conf, ordinal)).alias("last_raw"),
         F.max(F.struct(conf.alias("conf"), (-ordinal).alias("neg"), F.col("raw_text").alias("raw"))).alias("best"),
+        *more,
     )
 
 
@@ -53,45 +53,41 @@ def consensus(reads: DataFrame, keys=("doc_id",), field="field") -> DataFrame:
         stated.alias("stated"), F.col("support"), F.col("conf_sum"), F.length("clean_text").alias("n"),
         (-F.col("first_ordinal")).alias("neg"), F.col("clean_text").alias("clean"), F.col("last_raw").alias("raw"), "best",
     )
-    buckets = text_buckets(reads, group)
-    # Both branches below use all of these sums, and no filter on a key that could be pushed
-    # into one of them: so they share the shuffles, and the reads are scanned once.
-    whole = buckets.groupBy(*group).agg(
-        F.max(winner).alias("w"), F.count_if(stated).alias("n_texts"), F.max(F.col(field).isin(K.NAME_FIELDS)).alias("is_name"))
-    differ = F.coalesce(F.col("is_name"), F.lit(False)) & F.col("w.stated") & (F.col("w.support") == 1)
+    # Whether a field is a name is a sum of its buckets, which is not asked before them; and both
+    # branches below use the same columns: so they share a shuffle, and the reads are scanned once.
+    buckets = text_buckets(reads, group, F.max(F.coalesce(F.col(field).isin(K.NAME_FIELDS), F.lit(False))).alias("is_name"))
+    whole = buckets.groupBy(*group).agg(F.max(winner).alias("w"), F.count_if(stated).alias("n_texts"), F.max("is_name").alias("is_name"))
+    differ = F.col("is_name") & F.col("w.stated") & (F.col("w.support") == 1)
     settled = F.struct(
         F.when(~F.col("w.stated"), F.col("w.best.raw")).when(F.col("w.raw") != "", F.col("w.raw")).otherwise(F.col("w.clean")).alias("raw_text"),
         F.col("w.clean").alias("clean_text"),
         F.when(F.col("w.stated"), round4(F.col("w.conf_sum") / F.col("w.support"))).otherwise(F.col("w.best.conf")).alias("confidence"),
     )
     alone = F.struct(F.col("w.best.raw").alias("raw_text"), F.col("w.clean").alias("clean_text"), F.col("w.best.conf").alias("confidence"))
-    votes_needed = differ & (F.col("n_texts") > 1)
-    decided = whole.where(~votes_needed).select(*group, F.when(differ, alone).otherwise(settled).alias("r"))
+    decided = whole.where(~(differ & (F.col("n_texts") > 1))).select(*group, F.when(differ, alone).otherwise(settled).alias("r"))
+    texts = Window.partitionBy(*group)
+    names = buckets.where("is_name").withColumns({
+        "n_texts": F.count_if(stated).over(texts), "most": F.max(F.when(stated, F.col("support"))).over(texts)})
 
     def rank(vote):
         return F.struct(vote.alias("vote"), F.col("best.conf").alias("conf"), (-F.length("clean_text")).alias("n"), (-F.col("first_ordinal")).alias("neg"))
 
-    voted = similarity_winners(buckets, whole.where(votes_needed), group, rank)
+    voted = similarity_winners(names.where(stated & (F.col("n_texts") > 1) & (F.col("most") == 1)).drop("most"), group, rank)
     return decided.unionByName(voted).select(*group, "r.*")
 
 
-def similarity_winners(buckets: DataFrame, groups: DataFrame, group, rank) -> DataFrame:
-    """Winner ``r`` (raw_text, clean_text, confidence) of every group in ``groups``, which also
-    hold ``n_texts``.  The vote of a text is the sum over all texts of the group of their
-    ratio times the other's confidence sum; ``rank`` makes the order from it.  Blank texts
-    neither vote nor win."""
+def similarity_winners(buckets: DataFrame, group, rank) -> DataFrame:
+    """Winner ``r`` (raw_text, clean_text, confidence) of every group.  ``buckets`` hold no blank
+    texts and, from a window over the group, ``n_texts``.  The vote of a text is the sum over
+    all texts of the group of their ratio times the other's confidence sum; ``rank`` makes the
+    order from it."""
     tiles = F.ceil(F.col("n_texts") / CHUNK).cast("int")
-    # NULL keys are groups too; and a join that asks for keys to be there would filter the
-    # buckets, which then could not come from the same shuffle as the groups.
-    sizes = groups.select(*[F.col(k).alias(f"_{k}") for k in group], "n_texts")
-    same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in group])
-    sized = buckets.join(sizes, same).drop(*[f"_{k}" for k in group])
-    dealt = sized.withColumn("home", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = buckets.withColumn("home", F.explode(F.sequence(F.lit(0), tiles - 1)))
     at_home = F.pmod(F.xxhash64("clean_text"), tiles) == F.col("home")
     placed = dealt.withColumn("resident", at_home).repartition(*group, "home").sortWithinPartitions(
         *group, "home", F.desc("resident"), "clean_text")
-    columns = [c for c in placed.columns if c not in ("n_texts", "home", "resident")]
-    ordered = placed.select(*group, "home", "resident", *[c for c in columns if c not in group])
+    columns = [c for c in buckets.columns if c not in (*group, "n_texts")]
+    ordered = placed.select(*group, "home", "resident", *columns)
     schema = ordered.drop("home", "resident").withColumn("vote", F.lit(0.0)).schema
     voted = ordered.mapInArrow(_whole_votes(len(group)), schema)
     read = F.struct(F.col("best.raw").alias("raw_text"), "clean_text", F.col("best.conf").alias("confidence"))
@@ -127,13 +123,16 @@ def _whole_votes(n_keys):
                     done += [(b, r, v) for (b, r, _, _), v in zip(held, votes)]
                     place, held, votes = here, [], []
                 text, weight = texts[i], weights[i]
-                if text == "":
+                if not resident[i]:
+                    for j, (_, _, t, _) in enumerate(held):
+                        votes[j] += _scaled(gestalt_ratio(t, text) * weight)
                     continue
-                if resident[i]:  # the earlier texts of the tile vote for it, then it votes like the rest
-                    votes.append(sum(_scaled(gestalt_ratio(text, t) * w) for _, _, t, w in held))
-                    held.append((kept, i, text, weight))
-                for j, (_, _, t, _) in enumerate(held):
+                own = _scaled(weight)  # its ratio with itself is 1
+                for j, (_, _, t, w) in enumerate(held):
+                    own += _scaled(gestalt_ratio(text, t) * w)
                     votes[j] += _scaled(gestalt_ratio(t, text) * weight)
+                held.append((kept, i, text, weight))
+                votes.append(own)
             yield from batches_of(done)
         yield from batches_of([(b, r, v) for (b, r, _, _), v in zip(held, votes)])
 

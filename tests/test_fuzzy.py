@@ -79,3 +79,15 @@ def test_label_leakage(values):
 
     rows = [("name", "LAST NAME NARASEMHAPPA"), ("gender", "LAST"), ("pin", "PINC0DE ZIP 560001"), ("dob", ""), ("address", "ADRESS STATES CITI")]
     assert values(fuzzy.label_leakage, rows, "f string, t string") == [share(*r) for r in rows]
+
+
+def test_ratio_equals_the_library_for_all_shapes_of_texts():
+    rng = random.Random(11)
+    pairs = [("", "A"), ("A", ""), ("AB" * 99, "BA" * 99), ("AB" * 120, "BA" * 150), ("X" + "AB" * 120, "AB" * 99)]
+    for letters, most in (("AB", 12), ("AB ", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ ", 60), ("ABC", 230)):
+        for _ in range(400):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(most))) for _ in range(2))
+            at = rng.randrange(len(a) + 1)
+            pairs += [(a, b), (a, a[:at] + "X" + a[at + 1:]), (a[:at] + "XY" + a[at:], a)]
+    assert [p for p in pairs if fuzzy.gestalt_ratio(*p) != SequenceMatcher(None, *p).ratio()] == []
+    fuzzy.gestalt_ratio.cache_clear()

@@ -135,3 +135,11 @@ def test_segments_that_share_their_ordinal_do_not_depend_on_the_order_of_rows(sp
     orders = [rows, rows[::-1], rows[2:] + rows[:2], rows[1:] + rows[:1]]
     got = {segment_winners(spark.createDataFrame(o, schema).coalesce(1)).first() for o in orders}
     assert [r["raw_text"] for r in got] == ["I7"]
+
+
+def test_address_reads_are_cleaned_once(spark, tmp_path):
+    rows = [(d, w, i, "base", f"MAIN {'X' * i} ROAD", 0.5) for d in range(20) for w in range(2) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, line_idx int, ordinal long, variant string, raw_text string, confidence double").write.parquet(f"{tmp_path}/reads")
+    out = address.address_vote(spark.read.parquet(f"{tmp_path}/reads"))
+    assert out.count() == 20
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1

@@ -63,3 +63,20 @@ def test_codes(ids):
     assert codes.all().tolist() == ids and [codes[i] for i in range(len(ids))][:600] == ids[:600]
     if ids:
         assert codes[len(ids) - 1] == ids[-1]
+
+
+def test_pieces_are_learnt_in_blocks_and_forgotten(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from scanweave.llm import byte_coder
+
+    monkeypatch.setattr(byte_coder, "MEMO", 5)
+    rng = random.Random(3)
+    words = ["a", "b<|", "<|endoftext|>", "x<|endoftext|>y", "é", "12", "　", "", "日本", "\tq", "can't", "z\n", "\x1c", "w" * 300]
+    coder, library = byte_coder.ByteCoder(RAW), ByteCoder(RAW).tokenizer
+    for _ in range(6):
+        texts = ["", " ", "<|endoftext|> a"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(60)]
+        got = [list(map(int, ids)) for ids in coder.encode(pa.array(texts))]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(coder.known) <= max(5, len(words))

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scanweave import constants as K
+from scanweave.functions.text import let
 
 
 def _words(values) -> Column:
@@ -22,8 +23,12 @@ def upload_error(length: Column, mime: Column) -> Column:
 
 
 def parse_fields(payload: Column) -> Column:
-    """Request payload to struct<fields, error>; exactly one of the two is NULL."""
-    text = F.trim(F.coalesce(payload, F.lit("")))
+    """Request payload to struct<fields, error>; exactly one of the two is NULL.  What several
+    rules ask for is bound once, so that a payload is parsed once."""
+    return let(F.trim(F.coalesce(payload, F.lit(""))), _read_payload)
+
+
+def _read_payload(text: Column) -> Column:
     # The JSON reader stops after the first value; a payload with more behind it is no JSON.
     whole = (
         (text.startswith("[") & text.endswith("]"))
@@ -31,9 +36,40 @@ def parse_fields(payload: Column) -> Column:
         | text.rlike(r'^"([^"\\]|\\.)*"$')
         | text.rlike(r"^(null|true|false|-?[0-9.eE+-]+)$")
     )
-    json = F.try_parse_json(F.when(whole, text))
-    kind = F.schema_of_variant(json)
 
+    def with_json(json):
+        return let(F.schema_of_variant(json), lambda kind: let(_present(text, json, kind), with_items))
+
+    def with_items(present):
+        invalid = F.transform(
+            F.filter(present, lambda i: ~i["is_text"] | ~i["value"].isin(K.OUTPUT_FIELDS)),
+            lambda i: i["value"],
+        )
+        fields = F.array_distinct(F.transform(
+            F.filter(present, lambda i: i["is_text"] & i["value"].isin(K.OUTPUT_FIELDS)),
+            lambda i: i["value"],
+        ))
+        return let(F.struct(invalid.alias("invalid"), fields.alias("fields")), judged)
+
+    def judged(b):
+        invalid, fields = b["invalid"], b["fields"]
+        error = (
+            F.when(text == "", F.lit(None).cast("string"))
+            .when(fields.isNull(), F.lit("Invalid fields payload."))
+            .when(F.size(invalid) > 0,
+                  F.concat(F.lit("Unsupported fields: "), F.array_join(invalid, ", ")))
+            .when(~has_primary(fields), F.lit("Select at least one extraction field."))
+        )
+        return let(error, lambda e: F.struct(
+            F.when(text == "", _words(K.OUTPUT_FIELDS)).when(e.isNull(), fields).alias("fields"),
+            e.alias("error"),
+        ))
+
+    return let(F.try_parse_json(F.when(whole, text)), with_json)
+
+
+def _present(text: Column, json: Column, kind: Column) -> Column:
+    """Items of a payload that are not blank: struct<is_text, value>; NULL for no list of items."""
     listed = F.transform(
         F.try_variant_get(json, "$", "array<variant>"),
         lambda v: F.struct(
@@ -57,26 +93,7 @@ def parse_fields(payload: Column) -> Column:
         i["is_text"].alias("is_text"),
         F.when(i["is_text"], F.trim(i["value"])).otherwise(i["value"]).alias("value"),
     ))
-    present = F.filter(trimmed, lambda i: ~(i["is_text"] & (i["value"] == "")))
-    invalid = F.transform(
-        F.filter(present, lambda i: ~i["is_text"] | ~i["value"].isin(K.OUTPUT_FIELDS)),
-        lambda i: i["value"],
-    )
-    fields = F.array_distinct(F.transform(
-        F.filter(present, lambda i: i["is_text"] & i["value"].isin(K.OUTPUT_FIELDS)),
-        lambda i: i["value"],
-    ))
-    error = (
-        F.when(text == "", F.lit(None).cast("string"))
-        .when(items.isNull(), F.lit("Invalid fields payload."))
-        .when(F.size(invalid) > 0,
-              F.concat(F.lit("Unsupported fields: "), F.array_join(invalid, ", ")))
-        .when(~has_primary(fields), F.lit("Select at least one extraction field."))
-    )
-    return F.struct(
-        F.when(text == "", _words(K.OUTPUT_FIELDS)).when(error.isNull(), fields).alias("fields"),
-        error.alias("error"),
-    )
+    return F.filter(trimmed, lambda i: ~(i["is_text"] & (i["value"] == "")))
 
 
 def selected_primary(fields: Column) -> Column:
@@ -95,7 +112,7 @@ def ordered_union(fields: Column, preferred: Column) -> Column:
 def _engine_fields(fields: Column, table: dict) -> Column:
     lookup = F.create_map(*[v for k, fs in table.items() for v in (F.lit(k), _words(fs))])
     mapped = F.flatten(F.transform(selected_primary(fields), lambda f: F.try_element_at(lookup, f)))
-    return ordered_union(mapped, _words(K.ENGINE_FIELDS))
+    return let(mapped, lambda found: ordered_union(found, _words(K.ENGINE_FIELDS)))
 
 
 def public_engine_fields(fields: Column) -> Column:

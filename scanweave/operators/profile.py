@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanweave import constants as K
 from scanweave.functions.address import parse_address
 from scanweave.functions.fields import public_engine_fields
-from scanweave.functions.text import review_flags
+from scanweave.functions.text import let, review_flags
 from scanweave.operators.address import repair_address
 
 ADDRESS_KEYS = (
@@ -65,12 +65,14 @@ def project_profile(profiles: DataFrame, fields, key="doc_id") -> DataFrame:
     wanted = fields if per_row else F.array(*[F.lit(f) for f in fields])
     public = public_engine_fields(wanted)
     # Metadata alone shows every field.
-    public = F.when(F.size(public) > 0, public).otherwise(F.array(*[F.lit(f) for f in K.ENGINE_FIELDS]))
+    every = F.array(*[F.lit(f) for f in K.ENGINE_FIELDS])
 
     def column(f):
         value = F.col(f)
         if f in K.METADATA_FIELDS:
-            value = F.map_filter(value, lambda k, _: F.array_contains(public, k))
+            # Bound before the entries are gone through, else it would be worked out for each.
+            value = let(public, lambda p: let(F.when(F.size(p) > 0, p).otherwise(every), lambda shown: F.map_filter(
+                F.col(f), lambda k, _: F.array_contains(shown, k))))
         return (F.when(F.array_contains(wanted, f), value) if per_row else value).alias(f)
 
     return profiles.select(key, *[column(f) for f in K.OUTPUT_FIELDS if per_row or f in fields])

@@ -60,17 +60,24 @@ def parse_address(raw: Column, pin: Column, state: Column, lines: Column) -> Col
         return let(squeeze(F.regexp_replace(F.translate(text, "650", "GSO"), noise, "")),
                    lambda full: with_pin(ls, full))
 
+    # What several parts use is bound once: inside a lambda no engine shares common expressions.
     def with_pin(ls, full):
         probe = F.regexp_extract(
             F.translate(full, "GOS", "005"), r"\b[0-9]{6}\b|\b[0-9]{5}[L|I][0-9]\b", 0
         )
+        own = F.filter(ls, lambda x: (x != state) & (x != "INDIA"))
+        return let(F.struct(probe.alias("probe"), own.alias("own")), lambda b: with_words(ls, full, b["probe"], b["own"]))
+
+    def with_words(ls, full, probe, own):
         # With a hit the first six-character word is taken out, whatever it is.
         rest = F.when(
             probe != "", F.trim(F.regexp_replace(full, r"^(.*?)\b.{6}\b(.*)$", "$1$2"))
         ).otherwise(full)
+        words = F.when(F.size(own) == 0, F.filter(tokens(rest), lambda w: F.length(w) > 2))
+        return let(words, lambda ws: parts(ls, full, probe, own, ws))
+
+    def parts(ls, full, probe, own, words):
         code = F.when(probe != "", F.translate(probe, "L|I", "111")).otherwise(pin)
-        own = F.filter(ls, lambda x: (x != state) & (x != "INDIA"))
-        words = F.filter(tokens(rest), lambda w: F.length(w) > 2)
         by_line, by_word = _by_line(own, state), _by_word(words, state)
         has_lines = F.size(own) > 0
         return F.struct(

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from scanweave.functions.address import parse_address
 from scanweave.functions.fields import parse_fields
 from scanweave.operators import profile
 
@@ -12,6 +13,19 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_an_address_is_taken_apart_once(spark):
+    df = spark.createDataFrame([("", "", "", ["MG ROAD"])], "raw string, pin string, state string, lines array<string>")
+    plan = plan_of(df.select(parse_address(*[F.col(c) for c in df.columns]).alias("a")))
+    assert plan.count("{6}\\b(.*)$") == 1 and plan.count("= INDIA)") == 1
+
+
+def test_words_are_split_without_an_expression(spark):
+    df = spark.createDataFrame([("",)], "raw string")
+    none = F.lit(None).cast("array<string>")
+    plan = plan_of(df.select(parse_address(F.col("raw"), F.lit(""), F.lit(""), none).alias("a")))
+    assert "split(" in plan and ",  +, -1" not in plan
+
+
 def test_a_payload_is_parsed_once(spark):
     df = spark.createDataFrame([("dob",)], "p string")
     assert len(re.findall(r"parseJson|parse_json", plan_of(df.select(parse_fields(F.col("p")).alias("f"))))) == 1

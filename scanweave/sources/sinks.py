@@ -107,14 +107,18 @@ def verdict_envelope(at: Column = None) -> Column:
 def read_back(edited: DataFrame, column="json") -> DataFrame:
     """Edited profile JSON to a typed profile.  The profile is the object at ``data``, else at
     ``profile``, else the whole; anything but an object is an error."""
-    v = F.try_parse_json(F.col(column))
-
-    def member(name):
+    def member(v, name):
         m = F.try_variant_get(v, f"$.{name}", "variant")
         return F.when(~F.coalesce(F.is_variant_null(m), F.lit(True)), m)
 
-    chosen = F.coalesce(member("data"), member("profile"), v)
-    is_object = F.coalesce(F.schema_of_variant(chosen).startswith("OBJECT"), F.lit(False))
-    return edited.withColumn(
-        "profile", F.when(is_object, F.from_json(F.to_json(chosen), schemas.PROFILE_JSON))
-    ).withColumn("error", F.when(~is_object, F.lit('JSON must contain an object in "data".')))
+    # Columns of their own, one upon the other: each text is parsed and each object looked up
+    # once, however often they are asked for.
+    v = F.col("_parsed")
+    parsed = edited.withColumn("_parsed", F.try_parse_json(F.col(column)))
+    found = parsed.withColumn("_chosen", F.coalesce(member(v, "data"), member(v, "profile"), v)).drop("_parsed")
+    is_object = F.coalesce(F.schema_of_variant("_chosen").startswith("OBJECT"), F.lit(False))
+    judged = found.withColumn("_object", F.when(is_object, F.col("_chosen"))).drop("_chosen")
+    known = F.col("_object").isNotNull()
+    return judged.withColumn(
+        "profile", F.when(known, F.from_json(F.to_json("_object"), schemas.PROFILE_JSON))
+    ).withColumn("error", F.when(~known, F.lit('JSON must contain an object in "data".'))).drop("_object")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scanweave.functions.address import parse_address
 from scanweave.functions.fields import parse_fields
 from scanweave.operators import profile
+from scanweave.sources import sinks
 
 
 def plan_of(df):
@@ -39,3 +40,12 @@ def test_requested_fields_are_looked_up_outside_the_entries(spark):
     assert shown.collect()[0].confidence_metrics == {"dob": 1}
     inside = re.findall(r"map_filter\([^#]*#\d+, lambdafunction\(array_contains\((\w+)", plan_of(shown))
     assert inside == ["lambda", "lambda"]
+
+
+def test_an_edited_profile_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"data": {"full_name": "A"}}',), ('{"profile": {"dob": "x"}}',), ('{"data": [1]}',), ("{",), (None,), ('{"data": null, "full_name": "B"}',)], "json string")
+    out = sinks.read_back(df)
+    assert out.columns == ["json", "profile", "error"]
+    assert [(r.profile and (r.profile.full_name, r.profile.dob), r.error is None) for r in out.collect()] == [
+        (("A", None), True), ((None, "x"), True), (None, False), (None, False), (None, False), (("B", None), True)]
+    assert len(re.findall(r"parseJson|parse_json", plan_of(out))) == 1

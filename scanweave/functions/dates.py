@@ -29,17 +29,16 @@ def year_digits(digits: Column, current_year: int = DEFAULT_CURRENT_YEAR) -> Col
 
 def dob_from_digits(day: Column, month: Column, year: Column,
                     current_year: int = DEFAULT_CURRENT_YEAR) -> Column:
-    d, m = F.left(day, F.lit(2)), F.left(month, F.lit(2))
+    def dated(p):
+        d, m, y = p["d"], p["m"], p["y"]
+        whole = (F.length(d) == 2) & (F.length(m) == 2) & (F.length(y) == 4)
+        return let(F.when(whole, F.concat_ws("/", d, m, y)), lambda text: F.when(
+            F.try_to_date(text, "dd/MM/yyyy").isNotNull(), text).otherwise(F.lit("")))
 
-    def dated(y):
-        text = F.concat_ws("/", d, m, y)
-        ok = (
-            (F.length(d) == 2) & (F.length(m) == 2) & (F.length(y) == 4)
-            & F.try_to_date(text, "dd/MM/yyyy").isNotNull()
-        )
-        return F.when(ok, text).otherwise(F.lit(""))
-
-    return let(year_digits(year, current_year), dated)
+    parts = F.struct(
+        F.left(day, F.lit(2)).alias("d"), F.left(month, F.lit(2)).alias("m"),
+        let(year, lambda y: year_digits(y, current_year)).alias("y"))
+    return let(parts, dated)
 
 
 def dob_from_parts(day: Column, month: Column, year: Column,
@@ -63,10 +62,10 @@ def clean_dob(c: Column, current_year: int = DEFAULT_CURRENT_YEAR,
         return dob_from_digits(x.substr(at, F.lit(2)), x.substr(at + 2, F.lit(2)), year, current_year)
 
     def read(x):
-        at = F.regexp_instr(x, F.lit("19[0-9][0-9]|20[0-9][0-9]"))
-        around = F.when(at >= 5, parts(x, at - 4, x.substr(at, F.lit(4))))
+        around = let(F.regexp_instr(x, F.lit("19[0-9][0-9]|20[0-9][0-9]")), lambda at: F.when(
+            at >= 5, parts(x, at - 4, x.substr(at, F.lit(4)))))
         straight = F.when(F.length(x) >= 7, parts(x, F.lit(1), x.substr(F.lit(5), F.length(x))))
-        return F.coalesce(F.nullif(around, F.lit("")), straight, F.lit(""))
+        return F.coalesce(let(around, lambda a: F.when(a != "", a)), straight, F.lit(""))
 
     return let(letters_to_digits(text), read)
 

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from scanweave.functions.address import parse_address
+from scanweave.functions.dates import clean_dob, dob_from_parts
 from scanweave.functions.fields import parse_fields
 from scanweave.operators import profile
 from scanweave.sources import sinks
@@ -49,3 +50,12 @@ def test_an_edited_profile_is_parsed_once(spark):
     assert [(r.profile and (r.profile.full_name, r.profile.dob), r.error is None) for r in out.collect()] == [
         (("A", None), True), ((None, "x"), True), (None, False), (None, False), (None, False), (("B", None), True)]
     assert len(re.findall(r"parseJson|parse_json", plan_of(out))) == 1
+
+
+def test_a_date_is_read_once(spark):
+    df = spark.createDataFrame([("1l", "O2", "1954")], "d string, m string, y string")
+    out = df.select(dob_from_parts(F.col("d"), F.col("m"), F.col("y")).alias("t"))
+    assert out.collect()[0].t == "11/02/1954"
+    assert plan_of(out).count("regexp_replace") == 3
+    free = df.select(clean_dob(F.col("y")).alias("t"))
+    assert plan_of(free).count("regexp_instr") == 1

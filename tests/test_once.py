@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scanweave.functions.address import parse_address
 from scanweave.functions.dates import clean_dob, dob_from_parts
 from scanweave.functions.fields import parse_fields
-from scanweave.operators import profile
+from scanweave.operators import profile, refine
 from scanweave.sources import sinks
 
 
@@ -59,3 +59,8 @@ def test_a_date_is_read_once(spark):
     assert plan_of(out).count("regexp_replace") == 3
     free = df.select(clean_dob(F.col("y")).alias("t"))
     assert plan_of(free).count("regexp_instr") == 1
+
+
+def test_the_leakage_text_is_normalized_once(spark):
+    df = spark.createDataFrame([("name", "FATHER NAME")], "field string, raw_text string")
+    assert plan_of(refine.with_leakage(df)).count("[^\\p{L}\\p{N}]+") == 1

@@ -30,10 +30,12 @@ def clean_reads(reads: DataFrame, current_year=DEFAULT_CURRENT_YEAR) -> DataFram
         F.when(field.isin(K.NAME_FIELDS), clean_name(raw))
         .when(field == "pin", clean_pin(raw))
         .when(field == "dob", clean_dob(raw, current_year))
-        .when(field == "state", fuzzy_choice(F.when(field == "state", clean_state_text(raw))))
+        .when(field == "state", fuzzy_choice(F.col("_state")))
         .otherwise(clean_generic(raw))
     )
-    return reads.withColumn("clean_text", clean).withColumn("raw_text", F.trim("raw_text"))
+    # The state text is a column of its own, since the choice asks for it several times.
+    stated = reads.withColumn("_state", F.when(field == "state", clean_state_text(raw)))
+    return stated.withColumn("clean_text", clean).withColumn("raw_text", F.trim("raw_text")).drop("_state")
 
 
 def field_results(text_reads=None, address_reads=None, address_lines=None, box_reads=None, tail_reads=None,

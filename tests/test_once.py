@@ -8,6 +8,7 @@ from scanweave.functions.address import parse_address
 from scanweave.functions.dates import clean_dob, dob_from_parts
 from scanweave.functions.fields import parse_fields
 from scanweave.operators import profile, refine
+from scanweave.plans import jobs
 from scanweave.sources import sinks
 
 
@@ -64,3 +65,11 @@ def test_a_date_is_read_once(spark):
 def test_the_leakage_text_is_normalized_once(spark):
     df = spark.createDataFrame([("name", "FATHER NAME")], "field string, raw_text string")
     assert plan_of(refine.with_leakage(df)).count("[^\\p{L}\\p{N}]+") == 1
+
+
+def test_a_state_text_is_cleaned_once(spark):
+    df = spark.createDataFrame([("state", "BIHAR")], "field string, raw_text string")
+    out = jobs.clean_reads(df)
+    assert out.collect()[0].clean_text == "BIHAR"
+    # the cleaning drops words of one or two letters for names, and for states
+    assert plan_of(out).count("[A-Z]{1,2}") == 2

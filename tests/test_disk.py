@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanweave.operators import refine
+from scanweave.operators import layout, refine
 from scanweave.plans import recipes
 from scanweave.sources.shared import discard, settle
 
@@ -46,3 +46,32 @@ def test_rounds_write_one_row_per_field_and_the_reads_that_win(spark, sf_dir):
     assert won and sum(n for _, n in won) < 0.6 * every.count()
     assert not any(isinstance(f.dataType, T.ArrayType) for t, _ in kept for f in t.schema)
     assert len(gone) == len(kept) - 2  # the base and the last row per field are asked for by the result
+
+
+def shuffles(df):
+    """Exchanges of the plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_the_lines_of_pages_are_shuffled_once(spark, sf_dir):
+    lines = recipes.labelled_lines(spark, sf_dir).withColumn("height", F.lit(2200))
+    rows = layout.layout_rows(lines)
+    assert shuffles(rows) - shuffles(lines) == 1
+    anchors = layout.match_anchors(rows)
+    assert shuffles(anchors) - shuffles(rows) == 1
+    # what is worked out page by page stays where the pairs are
+    assert shuffles(layout.fit_pages(anchors)) == shuffles(anchors)
+
+
+def test_a_crowded_page_is_cut_and_others_are_not(spark, monkeypatch):
+    monkeypatch.setattr(layout, "CROWDED", 50)
+    x, y = (F.col("n") % 3) * 100.0, F.floor(F.col("n") / 3) * 60.0 + F.col("n") % 5
+    box = F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in ((0, 0), (80, 18))])
+    lines = spark.range(3).select(F.when(F.col("id") < 2, F.col("id")).alias("doc_id"), F.explode(F.sequence(F.lit(0), F.when(F.col("id") == 1, 120).otherwise(40))).alias("n")).select(
+        "doc_id", F.col("n").alias("line_no"), F.concat(F.lit("W"), F.col("n").cast("string")).alias("text"), box.alias("box"), F.lit(2200).alias("height"))
+    rows = layout.layout_rows(lines).collect()
+    assert {r["doc_id"] for r in rows} == {0, 1}  # a line without a page is on none
+    assert {r["block"] for r in rows if r["doc_id"] == 0} == {0} and len({r["block"] for r in rows if r["doc_id"] == 1}) > 9
+    for doc, last in ((0, 40), (1, 120)):
+        texts = [r["text"] for r in sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["cy"])]
+        assert texts == [" ".join(f"W{n}" for n in range(i, min(i + 3, last + 1))) for i in range(0, last + 1, 3)]

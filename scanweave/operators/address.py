@@ -1,12 +1,15 @@
 """Address field: a vote per line window, roll-up, fallback, known-name repair."""
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave import constants as K
 from scanweave.functions.fuzzy import seq_ratio
 from scanweave.functions.text import address_line, clean_generic, round4, tokens, vote_sum
-from scanweave.operators.consensus import similarity_winners, text_buckets
+from scanweave.operators.consensus import FEW, similarity_winners, text_buckets, winners_of_few
+from scanweave.sources.shared import has_rows
 
 PREPARED_BONUS = 0.03
 
@@ -24,18 +27,35 @@ def line_candidates(reads: DataFrame) -> DataFrame:
 
 
 def line_winners(reads: DataFrame, key="doc_id") -> DataFrame:
-    """Best text per document and line window."""
+    """Best text per document and line window.
+
+    The reads of a window are few as a rule: they are brought together by document, unless they are
+    already, and decided there.  Windows with more reads go by distinct texts and tiles; whether there
+    are any is asked first.
+    """
     group = [key, "line_idx"]
-    buckets = text_buckets(line_candidates(reads), group).select(*group, "clean_text", "conf_sum", "best")
-    sized = buckets.withColumn("n_texts", F.count(F.lit(1)).over(Window.partitionBy(*group)))
 
-    def rank(vote):
-        short = F.size(F.filter(tokens(F.col("clean_text")), lambda w: F.length(w) <= 1))
+    def order(vote, text, best):
+        short = F.size(F.filter(tokens(text), lambda w: F.length(w) <= 1))
         return F.struct(
-            vote.alias("vote"), F.col("best.conf").alias("conf"), (-short).alias("short"),
-            F.length(F.replace("clean_text", F.lit(" "), F.lit(""))).alias("n"), F.col("best.neg").alias("neg"))
-
-    return similarity_winners(sized, group, rank).select(*group, "r.*")
+            vote.alias("vote"), best["conf"].alias("conf"), (-short).alias("short"),
+            F.length(F.replace(text, F.lit(" "), F.lit(""))).alias("n"), best["neg"].alias("neg"))
+
+    def of_few(some):
+        return winners_of_few(text_buckets(line_candidates(some.repartition(key)), group), group, order)
+
+    def of_many(some):
+        buckets = text_buckets(line_candidates(some), group).select(*group, "clean_text", "conf_sum", "best")
+        sized = buckets.withColumn("n_texts", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+        return similarity_winners(sized, group, lambda vote: order(vote, F.col("clean_text"), F.col("best")))
+
+    sizes = reads.groupBy(*group).agg(F.count(F.lit(1)).alias("n_reads"))
+    crowded = sizes.where(F.col("n_reads") > FEW).select(*[F.col(c).alias(f"_{c}") for c in group])
+    if not has_rows(crowded):
+        return of_few(reads).select(*group, "r.*")
+    here = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group])
+    rest, many = (reads.join(crowded, here, how) for how in ("left_anti", "left_semi"))
+    return of_few(rest).unionByName(of_many(many)).select(*group, "r.*")
 
 
 def roll_up_lines(winners: DataFrame, key="doc_id") -> DataFrame:

@@ -14,6 +14,7 @@ import math
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanweave import constants as K
 from scanweave.functions.fuzzy import gestalt_ratio
@@ -21,6 +22,8 @@ from scanweave.functions.text import round4, vote_sum
 
 #: texts of a tile, about
 CHUNK = 2048
+#: reads of a group whose texts may meet in one row
+FEW = 256
 #: binary places of a vote; sums of whole numbers do not depend on their order
 PLACES = 80
 
@@ -94,6 +97,32 @@ def similarity_winners(buckets: DataFrame, group, rank) -> DataFrame:
     return voted.groupBy(*group).agg(F.max_by(read, rank(F.round("vote", 9))).alias("r"))
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _few_votes(texts: pa.Array, weights: pa.Array) -> pa.Array:
+    """The votes for every text of each group."""
+
+    def votes(some, weigh):
+        if len(some) == 1:
+            return [_scaled(weigh[0]) / (1 << PLACES)]
+        return [sum(_scaled(gestalt_ratio(a, b) * w) for b, w in zip(some, weigh)) / (1 << PLACES) for a in some]
+
+    return pa.array([votes(*group) for group in zip(texts.to_pylist(), weights.to_pylist())], pa.list_(pa.float64()))
+
+
+def winners_of_few(buckets: DataFrame, group, order) -> DataFrame:
+    """Winner ``r`` as of ``similarity_winners``, for groups of at most ``FEW`` reads: the texts of a
+    group meet in one row, so nothing is shuffled where the reads of a group are together.
+    ``order`` makes the order from a vote, a text and its best read."""
+    held = buckets.groupBy(*group).agg(F.collect_list(F.struct("clean_text", "conf_sum", "best")).alias("texts"))
+    voted = held.withColumn("votes", _few_votes(F.col("texts.clean_text"), F.col("texts.conf_sum")))
+
+    def ranked(t, vote):
+        read = F.struct(t["best"]["raw"].alias("raw_text"), t["clean_text"].alias("clean_text"), t["best"]["conf"].alias("confidence"))
+        return F.struct(order(F.round(vote, 9), t["clean_text"], t["best"]).alias("order"), read.alias("read"))
+
+    return voted.select(*group, F.array_max(F.zip_with("texts", "votes", ranked))["read"].alias("r"))
+
+
 def _scaled(x: float) -> int:
     return int(math.ldexp(x, PLACES))
 

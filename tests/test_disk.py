@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanweave.operators import layout, refine
+from scanweave.operators import address, layout, refine
 from scanweave.plans import recipes
 from scanweave.sources.shared import discard, settle
 
@@ -75,3 +75,27 @@ def test_a_crowded_page_is_cut_and_others_are_not(spark, monkeypatch):
     for doc, last in ((0, 40), (1, 120)):
         texts = [r["text"] for r in sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["cy"])]
         assert texts == [" ".join(f"W{n}" for n in range(i, min(i + 3, last + 1))) for i in range(0, last + 1, 3)]
+
+
+def line_reads(spark):
+    doc, n = F.col("id") % 9, F.col("id")
+    return spark.range(400).select(
+        F.when(doc > 0, doc).alias("doc_id"), (n % 4).cast("int").alias("line_idx"), n.alias("ordinal"),
+        F.when(n % 2 == 0, "base").otherwise("prepared").alias("variant"),
+        F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("MAIN R"), F.substring(F.lit("OAEIUX"), (n * 5 % 11 % 6 + 1).cast("int"), F.lit(1)), F.lit("AD "), (n % 5 + 10).cast("string"))).alias("raw_text"),
+        (n * 7 % 64 / 64.0).alias("confidence"))
+
+
+def test_line_windows_are_decided_where_their_reads_are(spark):
+    spread = line_reads(spark).repartition(8, "doc_id")
+    # the lines of a document are put together; nothing else moves, nor do reads that come spread by document
+    assert shuffles(address.address_vote(spread)) - shuffles(spread) == 1
+    assert shuffles(address.address_vote(line_reads(spark))) == 2
+
+
+def test_windows_of_many_reads_are_decided_alike(spark, monkeypatch):
+    few = {tuple(map(str, r)) for r in address.address_vote(line_reads(spark)).collect()}
+    assert len(few) == 9  # one is the reads without a document
+    for most in (0, 10):  # all go by tiles, or some
+        monkeypatch.setattr(address, "FEW", most)
+        assert {tuple(map(str, r)) for r in address.address_vote(line_reads(spark)).collect()} == few

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanweave.functions.geometry import EDGES, packed_roi, unpacked_edges
 from scanweave.operators import address, layout, refine
 from scanweave.plans import recipes
 from scanweave.sources.shared import discard, settle
@@ -63,6 +64,14 @@ def test_the_lines_of_pages_are_shuffled_once(spark, sf_dir):
     assert shuffles(layout.fit_pages(anchors)) == shuffles(anchors)
 
 
+def test_regions_of_any_size_come_back_from_a_shuffle(spark):
+    rows = [(0, 0, 65535, 1), (70, 639, 340, 671), (-1, 5, 10, 20), (1, 2, 65536, 4), (2147483647, -2147483648, 0, 0), (None, 1, 2, 3), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "x1 int, y1 int, x2 int, y2 int")
+    packed = df.select("*", packed_roi([F.col(e) for e in EDGES]).alias("b"))
+    assert [tuple(r) for r in packed.select(*unpacked_edges(F.col("b"))).collect()] == rows
+    assert [r[0] for r in packed.select(F.col("b.short").isNotNull() & F.col("b.wide").isNull()).collect()] == [True, True] + [False] * 5
+
+
 def test_a_crowded_page_is_cut_and_others_are_not(spark, monkeypatch):
     monkeypatch.setattr(layout, "CROWDED", 50)
     x, y = (F.col("n") % 3) * 100.0, F.floor(F.col("n") / 3) * 60.0 + F.col("n") % 5
